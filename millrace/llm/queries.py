@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, line_dedup, mixing
+from . import fingerprint, line_dedup, mixing, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_mixing": mixing.query,
+    "op3_simhash": simhash.query,
     "op6_fingerprint": fingerprint.query,
 }
 ORACLES = {
