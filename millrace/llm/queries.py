@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, line_dedup, mixing, simhash
+from . import fingerprint, line_dedup, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_mixing": mixing.query,
     "op3_simhash": simhash.query,
+    "op4_toxicity": toxicity.query,
     "op6_fingerprint": fingerprint.query,
 }
 ORACLES = {
