@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import fingerprint, line_dedup, mixing, simhash, toxicity
+from . import fingerprint, line_dedup, mixing, simhash, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_mixing": mixing.query,
     "op3_simhash": simhash.query,
     "op4_toxicity": toxicity.query,
+    "op5_topk": topk.query,
     "op6_fingerprint": fingerprint.query,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_mixing": mixing.ORACLE,
+    "op5_topk": topk.ORACLE,
 }

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stored
+from .common import BROADCAST_ROWS, ship, stored
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 #: Most fingerprints of a key in one slice.
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(fps, pa.int64())], names=["doc_id", "th", "fp"])
 
+    ship(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
@@ -123,6 +124,7 @@ def _links(batches: Iterator) -> Iterator:
 
 def links(fps: DataFrame, n: int, group: int = GROUP) -> DataFrame:
     """a, b: links that join all of the n distinct fingerprints fp that are close, directly or in steps."""
+    ship(fps.sparkSession)
     keys = fps.select("fp", F.explode(F.array(*block_keys(F.col("fp"), n_blocks(n)))).alias("key"))
     # A key without company can't give a link; a large one is cut.
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -23,10 +23,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship
+
 #: Most toxic documents in the training sample, and the clean ones for each of those.
 SAMPLE, CLEAN_TIMES = 2500, 3
 #: A score from here on means toxic.
@@ -244,12 +247,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _apply(rows: DataFrame, text: str, model: Model) -> DataFrame:
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
+    ship(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf(RESULT)
+    @F.pandas_udf(RESULT)
     def tag(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for texts in parts:
