@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, line_dedup, mixing, simhash, topk, toxicity
+from . import bpe, fingerprint, line_dedup, mixing, simhash, token_files, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_topk": topk.query,
     "op6_fingerprint": fingerprint.query,
+    "op7_token_files": token_files.query,
+    "op8_bpe": bpe.query,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
