@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, line_dedup, mixing, simhash, token_files, topk, toxicity
+from . import bpe, fingerprint, line_dedup, mixing, simhash, token_counts, token_files, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_fingerprint": fingerprint.query,
     "op7_token_files": token_files.query,
     "op8_bpe": bpe.query,
+    "op9_token_counts": token_counts.query,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
