@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, line_dedup, mixing, simhash, token_counts, token_files, topk, toxicity
+from . import bpe, fingerprint, line_dedup, lm_score, mixing, simhash, token_counts, token_files, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_files": token_files.query,
     "op8_bpe": bpe.query,
     "op9_token_counts": token_counts.query,
+    "op10_lm_score": lm_score.query,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
