@@ -34,9 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get()
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; release() deletes it unless it is to be kept."""
     path = f"{shared_dir(spark).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if not keep:
+        _written.append(path)
     return path
 
 

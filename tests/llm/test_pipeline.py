@@ -1,0 +1,40 @@
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+import public_tokenizers  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from millrace.llm import toxicity  # noqa: E402
+from millrace.llm.line_dedup import ORACLE as LINES  # noqa: E402
+from millrace.llm.mixing import ORACLE as MIX  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """Every stage again by plain means: duckdb for lines and mixing, pairs for near copies, the library for ids."""
+    duckdb = pytest.importorskip("duckdb")
+    from tests_llm_brute import components, fingerprint
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    got = corpus_pipeline.run(spark, SF).collect()
+    scorer = toxicity.Scorer(toxicity.train(docs, labels))
+    rows = {r.doc_id: r for r in docs.collect() if scorer(r.text)[0] < toxicity.AT_LEAST}
+    db = duckdb.connect()
+
+    def sql(query, rows):
+        db.execute("CREATE OR REPLACE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+        return db.sql(query)
+
+    lines = sql(LINES.replace("md5(clean) AS text_md5", "clean"), [(r.doc_id, r.text, r.source) for r in rows.values()])
+    texts = {d: clean for d, _, removed, n, clean in lines.fetchall() if not removed or n >= 0.2 * len(rows[d].text)}
+    fps = {d: fingerprint(t) for d, t in texts.items()}
+    kept = {d for d, c in components(fps).items() if d == c}
+    want = []
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for d, size, _, _, taken in sql(MIX, [(d, texts[d], rows[d].source) for d in kept]).fetchall():
+        ids = library.encode(texts[d], add_special_tokens=False).ids
+        want += [(d, texts[d], rows[d].lang, rows[d].source, len(texts[d]), ids)] * (1 if size == 0 else taken // size)
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -4,43 +4,14 @@ import pytest
 
 pytest.importorskip("millrace.llm.simhash")
 
-import xxhash  # noqa: E402
+from tests_llm_brute import components as brute_components  # noqa: E402
+from tests_llm_brute import fingerprint as brute_fingerprint  # noqa: E402
 
 from millrace.llm import simhash  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute_fingerprint(text):
-    import re
-
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", low)
-    if not words:
-        return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
-    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
-def brute_components(fps):
-    """fps: {doc_id: fingerprint} -> {doc_id: smallest reachable}"""
-    root = {d: d for d in fps}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(fps)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 4:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {d: find(d) for d in ids}
-
-
 def test_query_against_brute_force(spark):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.query(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
