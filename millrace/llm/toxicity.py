@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import ship
 
 #: Most toxic documents in the training sample, and the clean ones for each of those.
-SAMPLE, CLEAN_TIMES = 2500, 3
+SAMPLE, CLEAN_TIMES = 2000, 3
 #: A score from here on means toxic.
 AT_LEAST = 0.3
 BEGINNINGS = (4, 5, 6)
@@ -94,51 +94,58 @@ def _summary(marginals: list[float]) -> tuple[float, float]:
     return max(-8.0, math.log(max(most, 1e-9) / (1 - most))), math.log1p(sum(p for p in marginals if p > 0.05))
 
 
-def fit(docs: list[tuple[str, int]], rounds: int = 60) -> Model:
-    """The model from (text, toxic) pairs. In toxic documents a word counts once for each pair of neighbours that it
-    stands between, so copies of one document, whose words all share a fate, count as one."""
-    n = Counter(y for _, y in docs)
+def fit(docs: Iterable[tuple[str, int]], rounds: int = 60) -> Model:
+    """The model from (text, toxic) pairs. Documents are kept as arrays of word numbers. In toxic documents a word
+    counts once for each pair of neighbours that it stands between, so copies of one document, whose words all share
+    a fate, count as one."""
+    import numpy as np
+
+    number: dict[str, int] = {}
+    held = [(np.array([number.setdefault(w, len(number)) for w in (t or "").lower().split()], np.uint32), y) for t, y in docs]
+    n = Counter(y for _, y in held)
     if not n[0] or not n[1]:
         return Model()
-    words = [((t or "").lower().split(), y) for t, y in docs]
-    memo: dict[str, list[str]] = {}
-    known = lambda w: memo[w] if w in memo else memo.setdefault(w, features(w))
-    toxic, clean, between = Counter(), Counter(), set()
-    for ws, y in words:
-        if y:
-            for three in zip(["", *ws], ws, [*ws[1:], ""], strict=False):
-                if (h := hash(three)) not in between:
-                    between.add(h)
-                    toxic.update(known(three[1]))
+    words = list(number)
+    triples = [np.stack([np.concatenate([[0], x[:-1]]), x, np.concatenate([x[1:], [0]])], axis=1) for x, y in held if y and len(x)]
+    distinct = np.unique(np.concatenate(triples), axis=0)[:, 1] if triples else np.zeros(0, np.uint32)
+    toxic = Counter()
+    for w, k in zip(*np.unique(distinct, return_counts=True), strict=True):
+        for f in features(words[int(w)]):
+            toxic[f] += int(k)
     often = max(3, 0.004 * n[1])
     toxic = Counter({f: k for f, k in toxic.items() if k >= often})
-    for ws, y in words:
+    bears = {i: fs for i, w in enumerate(words) if (fs := [f for f in features(w) if f in toxic])}
+    any_ = np.zeros(len(words), bool)
+    any_[list(bears)] = True
+    clean = Counter()
+    for x, y in held:
         if not y:
-            clean.update({f for w in set(ws) for f in known(w) if f in toxic})
+            clean.update({f for i in np.unique(x[any_[x]]).tolist() for f in bears[i]})
     lift = lambda f: math.log((toxic[f] + 0.5) / n[1]) - math.log((clean[f] + 0.5) / n[0])
     chosen = {f for f, k in toxic.items() if clean[f] <= 0.02 * k and lift(f) > math.log(20)}
     # A beginning says nothing of its own if all but few of its words are one chosen word.
     for f in [f for f in chosen if f[0] != "^"]:
         chosen -= {b for b in features(f)[1:] if b in chosen and toxic[b] - toxic[f] < often}
-    return _train(words, chosen, rounds, known)
+    bears = {i: kept for i, fs in bears.items() if (kept := [f for f in fs if f in chosen])}
+    return _train(held, chosen, bears, rounds)
 
 
-def _train(words: list, chosen: set[str], rounds: int, known) -> Model:
+def _train(held: list, chosen: set[str], bears: dict[int, list[str]], rounds: int) -> Model:
     """Gradient ascent on the chains' likelihood. Tokens without evidence share one emission, so a document is a run
-    of tokens, few of which have features of their own; documents without evidence are weighed by their length."""
+    of tokens, few of which have features (bears) of their own."""
     model = Model(weights=dict.fromkeys(chosen, 1.0), bias=-3.0, first=-2.0, step=((0.5, -0.5), (0.5, -0.5)), fitted=True)
     chains, quiet = [], []
-    for ws, y in words if chosen else []:
+    for x, y in held if chosen else []:
         if len(chains) >= CHAINS and len(quiet) >= CHAINS // 2:
             break
-        fs = [[f for f in known(w) if f in chosen] for w in ws]
+        fs = [bears.get(i, []) for i in x.tolist()]
         hits = [i for i, f in enumerate(fs) if f]
-        if hits and y:  # the tokens about the evidence say all that the rest of the chain would
+        if hits and y and len(chains) < CHAINS:  # the tokens about the evidence say all that the rest of the chain would
             lo, hi = max(0, hits[0] - 20), hits[-1] + 21
             chains.append((fs[lo:hi], [1 if f else 0 for f in fs[lo:hi]]))
-        elif not y:
+        elif not y and fs and len(quiet) < CHAINS // 2:
             quiet.append((fs[:80], [0] * len(fs[:80])))
-    chains = [c for c in [*chains[:CHAINS], *quiet[: CHAINS // 2]] if c[0]]
+    chains += quiet
     square: Counter = Counter()
     for _ in range(rounds if len(chains) < 200 else max(6, rounds * 120 // len(chains))):
         grads: Counter = Counter()
@@ -171,9 +178,12 @@ def _train(words: list, chosen: set[str], rounds: int, known) -> Model:
                 step = [list(r) for r in model.step]
                 step[k[1]][k[2]] += move
                 model.step = tuple(map(tuple, step))
-    of = {w: e for w in {w for ws, _ in words for w in ws} if (e := sum(model.weights.get(f, 0.0) for f in known(w)))}
+    of = {i: sum(model.weights[f] for f in fs) for i, fs in bears.items()}
     none = [0.0] * 200
-    xs = [(*_summary(model.marginals([of.get(w, 0.0) for w in ws] if not of.keys().isdisjoint(ws) else none[: len(ws)])), y) for ws, y in words]
+    xs = []
+    for x, y in held:
+        es = [of.get(i, 0.0) for i in x.tolist()]
+        xs.append((*_summary(model.marginals(es if any(es) else none[: len(es)])), y))
     model.curve = _logistic(xs)
     return model
 
@@ -229,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     here = here.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(here.filter("toxic = 0").orderBy(*order).limit(CLEAN_TIMES * sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(here), "doc_id").filter("text IS NOT NULL")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    return fit([(r.text, r.toxic) for r in rows.orderBy("doc_id").select("text", "toxic").toLocalIterator()])
+    return fit((r.text, r.toxic) for r in rows.orderBy("doc_id").select("text", "toxic").toLocalIterator())
 
 
 RESULT = T.StructType(
