@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import ship, stored
 
-BLOCK, GROUP, LEAF, MOST_PIVOTS = 2048, 256, 32, 1024
+#: Vectors of a data tree, of a query tree, of a leaf; vectors searched between looks at the bounds; most cells.
+BLOCK, GROUP, LEAF, BATCH, MOST_PIVOTS = 2048, 256, 64, 512, 1024
 
 
 @dataclass
 class Node:
-    """Points lo..hi of the tree's order lie within radius of the centre; a leaf has no children."""
+    """Points lo..hi of the tree's order lie within radius of the centre; a leaf has no children. A loose leaf holds
+    those points of its parent, and has the parent's centre, that have too little company for nodes of their own."""
 
     centre: object
     norm: float
@@ -38,6 +40,7 @@ class Node:
     lo: int
     hi: int
     children: list
+    loose: bool = False
 
 
 @dataclass
@@ -56,21 +59,34 @@ def build(ids, points) -> Tree:
     ids, points = np.asarray(ids)[order], np.asarray(points, float)[order]
     place: list = []
 
-    def node(own, centre, radius: float) -> Node:
-        lo = len(place)
-        far = float(radius.max(initial=0.0))
-        if len(own) <= LEAF or far == 0:
-            place.extend(own)
-            return Node(points[centre], float(np.linalg.norm(points[centre])), far, lo, len(place), [])
-        level, rest, dist, children, at = far / 2, own, radius, [], centre
-        while len(rest):
-            near = dist <= level
-            children.append(node(rest[near], at, dist[near]))
-            rest = rest[~near]
-            if len(rest):
-                at = rest[0]
-                dist = np.sqrt(((points[rest] - points[at]) ** 2).sum(axis=1))
-        return Node(points[centre], float(np.linalg.norm(points[centre])), far, lo, len(place), children)
+    def node(own, centre, radius) -> Node:
+        lo, far, norm = len(place), float(radius.max(initial=0.0)), float(np.linalg.norm(points[centre]))
+        children: list[Node] = []
+        loose = [np.arange(len(own))]
+        if len(own) > LEAF and far > 0:
+            level, rest, dist, at, dull, loose = far / 2, np.arange(len(own)), radius, centre, 0, []
+            while len(rest):
+                near = dist <= level
+                if near.sum() >= LEAF // 4:
+                    children.append(node(own[rest[near]], at, dist[near]))
+                    dull = 0
+                else:
+                    loose.append(rest[near])
+                    dull += 1
+                rest = rest[~near]
+                if dull >= LEAF // 2:
+                    loose.append(rest)
+                    break
+                if len(rest):
+                    at = own[rest[0]]
+                    dist = np.sqrt(((points[own[rest]] - points[at]) ** 2).sum(axis=1))
+        if some := [x for x in loose if len(x)]:
+            some = np.concatenate(some)
+            begin = len(place)
+            place.extend(own[some])
+            if children:
+                children.append(Node(points[centre], norm, float(radius[some].max()), begin, len(place), [], True))
+        return Node(points[centre], norm, far, lo, len(place), children)
 
     every = np.arange(len(ids))
     root = node(every, 0, np.sqrt(((points - points[0]) ** 2).sum(axis=1)))
@@ -92,43 +108,64 @@ class Search:
         return self
 
     def _visit(self, q: Node, r: Node) -> None:
+        """All pairs of children at once: those of leaves are searched together, the others in order of their bounds."""
         import numpy as np
 
-        qs, rs = q.children or [q], r.children or [r]
         if not q.children and not r.children:
-            return self._leaves(q, [r])
-        dim = range(min(len(q.centre), len(r.centre)))
-        qc, rc = np.array([n.centre for n in qs])[:, : len(dim)], np.array([n.centre for n in rs])[:, : len(dim)]
+            return self._leaves([q], [r])
+        qs, rs = q.children or [q], r.children or [r]
+        bound, worst = self._bounds(qs, rs), lambda n: self.kth[n.lo : n.hi].min()
+        q_leaf, r_leaf = [i for i, n in enumerate(qs) if not n.children], [j for j, n in enumerate(rs) if not n.children]
+        if q_leaf and r_leaf:
+            least = np.array([worst(qs[i]) for i in q_leaf])
+            reach = (bound[np.ix_(q_leaf, r_leaf)] - least[:, None]).max(axis=0)
+            order = [r_leaf[j] for j in np.argsort(-reach) if reach[j] >= 0]
+            some, held = [], 0
+            for j in order:
+                some.append(rs[j])
+                held += rs[j].hi - rs[j].lo
+                if held >= BATCH:
+                    self._leaves([qs[i] for i in q_leaf], some)
+                    some, held = [], 0
+                    q_leaf = [i for i in q_leaf if bound[i, order].max() >= worst(qs[i])]
+            if some and q_leaf:
+                self._leaves([qs[i] for i in q_leaf], some)
+        deep = [(-bound[i, j], i, j) for i, a in enumerate(qs) for j in (range(len(rs)) if a.children else [j for j, b in enumerate(rs) if b.children])]
+        for b, i, j in sorted(deep):
+            if -b >= worst(qs[i]):
+                self._visit(qs[i], rs[j])
+
+    @staticmethod
+    def _bounds(qs: list[Node], rs: list[Node]):
+        """No inner product of a pair of nodes is larger."""
+        import numpy as np
+
+        dim = min(len(qs[0].centre), len(rs[0].centre))
+        qc, rc = np.array([n.centre[:dim] for n in qs]), np.array([n.centre[:dim] for n in rs])
         qn, rn = np.array([n.norm for n in qs])[:, None], np.array([n.norm for n in rs])[None, :]
         qr, rr = np.array([n.radius for n in qs])[:, None], np.array([n.radius for n in rs])[None, :]
         bound = qc @ rc.T + rr * qn + qr * rn + qr * rr
-        bound += 1e-9 * (1 + np.abs(bound))  # distances are rounded; scores aren't
-        for i in np.argsort(-bound.max(axis=1)):
-            a = qs[i]
-            able = [j for j in np.argsort(-bound[i]) if bound[i, j] >= self.kth[a.lo : a.hi].min()]
-            if not a.children:
-                for at in range(0, len(able), 16):
-                    worst = self.kth[a.lo : a.hi].min()
-                    if some := [rs[j] for j in able[at : at + 16] if not rs[j].children and bound[i, j] >= worst]:
-                        self._leaves(a, some)
-            for j in able:
-                if (a.children or rs[j].children) and bound[i, j] >= self.kth[a.lo : a.hi].min():
-                    self._visit(a, rs[j])
-
-    def _leaves(self, q: Node, rs: list[Node]) -> None:
+        return bound + 1e-9 * (1 + np.abs(bound))  # distances are rounded; scores aren't
+
+    def _leaves(self, qs: list[Node], rs: list[Node]) -> None:
         import numpy as np
 
-        rows = np.concatenate([np.arange(n.lo, n.hi) for n in rs])
+        mine, rows = (np.concatenate([np.arange(n.lo, n.hi) for n in ns]) for ns in (qs, rs))
         dim = min(self.q.points.shape[1], self.data.points.shape[1])
-        scores, ids = self.q.points[q.lo : q.hi, :dim] @ self.data.points[rows, :dim].T, self.data.ids[rows]
-        for i in range(q.lo, q.hi):
-            able = scores[i - q.lo] >= self.kth[i]
-            able &= ids != self.q.ids[i]
-            if able.any():
-                best = sorted({*self.best[i], *zip((-scores[i - q.lo][able]).tolist(), ids[able].tolist(), strict=True)})[: self.k]
-                self.best[i] = best
-                if len(best) == self.k:
-                    self.kth[i] = max(self.kth[i], -best[-1][0])
+        scores, ids, k = self.q.points[mine, :dim] @ self.data.points[rows, :dim].T, self.data.ids[rows], self.k
+        scores[self.q.ids[mine][:, None] == ids[None, :]] = -np.inf
+        least = np.maximum(self.kth[mine], np.finfo(float).min)
+        able = scores >= least[:, None]
+        if len(rows) > k and able.sum() > 4 * k * len(mine):
+            able = scores >= np.maximum(np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k], least)[:, None]
+        for i in np.flatnonzero(able.any(axis=1)):
+            found = np.flatnonzero(able[i])
+            if len(found) > k:
+                found = found[np.lexsort((ids[found], -scores[i, found]))[:k]]
+            best = sorted({*self.best[mine[i]], *zip((-scores[i, found]).tolist(), ids[found].tolist(), strict=True)})[:k]
+            self.best[mine[i]] = best
+            if len(best) == k:
+                self.kth[mine[i]] = max(self.kth[mine[i]], -best[-1][0])
 
 
 def _valid(vectors: DataFrame, scale: int) -> DataFrame:
