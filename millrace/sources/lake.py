@@ -37,15 +37,16 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
 
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """The table at path; an empty one of the schema, if that is given, where there is none."""
-    if schema is not None and not _parts(spark, path):
+    if schema is not None and not has_data(spark, path):
         return spark.createDataFrame([], schema)
     reader = spark.read.option("basePath", path)
     return (reader.schema(schema) if schema is not None else reader).parquet(path)
 
 
-def _parts(spark: SparkSession, path: str) -> bool:
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether Spark would find files at path; names of partitions may begin with an underscore."""
     place, fs = _at(spark, path)
-    return fs.exists(place) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(place))
+    return fs.exists(place) and any("=" in (n := s.getPath().getName()) or not n.startswith(("_", ".")) for s in fs.listStatus(place))
 
 
 def replace_dates(rows: DataFrame, path: str, column: str, dates: Iterable[date]) -> None:
