@@ -28,7 +28,7 @@ from .bpe import Memory, some
 from .common import shared_path, ship, stored
 
 #: Bits of a chunk; ids of a shard; pieces in a generation of a worker's memory; bits of a directory block.
-CHUNK, SHARD, REMEMBERED, BLOCK = 8, 1 << 18, 200_000, 512
+CHUNK, SHARD, REMEMBERED, BLOCK = 8, 1 << 18, 400_000, 512
 #: Marks that may close a piece; those of special strings are not among them.
 CLOSING = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 
@@ -125,6 +125,7 @@ class Encoder:
     def _make(self, pieces: list[bytes]) -> list[bytes]:
         texts = [p.decode() for p in pieces]
         bodies = [t.rstrip(CLOSING) for t in texts]
+        bodies = [b.lower() if b.isascii() else b for b in bodies]  # as the tokenizer does
         plain = {b for b in bodies if b.isalpha()}
         known = self.letters.known(plain, self._letters)
         tails: dict[str, bytes] = {"": b""}
@@ -141,8 +142,8 @@ class Encoder:
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         cut = [(t or b"").split() for t in texts]
-        known = self.pieces.known({p for ps in cut for p in ps}, self._make)
-        return [b"".join([known[p] for p in ps]) for ps in cut]
+        known = self.pieces.known(set().union(*cut), self._make)
+        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
 
 
 _made: dict = {}
