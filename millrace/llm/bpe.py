@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Pieces in a generation of a worker's memory, and longest word that goes through the side-by-side trees.
-REMEMBERED, SHORT = 200_000, 32
+REMEMBERED, SHORT = 140_000, 32
 NONE = (1 << 62) - 1
 
 
@@ -203,7 +203,7 @@ class Codec:
         self.twice = re.compile(r"\s\s").search
         self.marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(voc.special, key=len, reverse=True)) + ")") if voc.special else None
         # Pieces as they stand, pieces behind a blank, and what the pattern cuts: to decimal ids.
-        self.first, self.spaced, self.words = Memory(most // 4), Memory(most), Memory(most)
+        self.first, self.spaced, self.words = Memory(most // 4), Memory(most), Memory(most // 2)
         self.end = self._ids(["\n"])[0]
         self.token = {str(i): t for i, t in enumerate(voc.token)}.__getitem__
 
@@ -330,9 +330,12 @@ def with_tokens(docs: DataFrame, voc: Vocabulary | None = None) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
         codec = remembered(sent.value, Codec)
         for texts in parts:
-            out = [[int(i) for i in x.split(",")] if x else [] for run in some(list(texts)) for x in codec.encode(run)]
+            # Arrays, for lists of numbers would take ten times the memory.
+            out = [np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for run in some(list(texts)) for x in codec.encode(run)]
             yield pd.Series(out, dtype=object)
 
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])

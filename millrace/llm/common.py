@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Tables up to this many rows may be broadcast; each caller's rows have a fixed width.
 BROADCAST_ROWS = 200_000
 
+#: Most rows of a batch that goes to a Python worker.
+DOCUMENTS = 1000
+
 _written: list[str] = []
 
 
@@ -58,8 +61,11 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers of the session's executors, once a session."""
+    """Sends this package to the Python workers of the session's executors, once a session. Rows are whole documents,
+    so the batches that go to those workers are kept to DOCUMENTS rows."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, DOCUMENTS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", DOCUMENTS)
     if getattr(context, "_millrace_sent", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -119,3 +119,9 @@ def test_cases7(spark, word_library, tmp_path, monkeypatch):
     check7(token_files.documents(spark, str(tmp_path / "t")).collect(), [r[:2] for r in ROWS], word_library)
     token_files.write(docs.limit(0), definition, str(tmp_path / "e"))
     assert token_files.documents(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_token_ids_of_rows(spark, byte_library):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    for r in bpe.with_tokens(docs).collect():
+        assert r.token_ids == byte_library.encode(r.text or "", add_special_tokens=False).ids
