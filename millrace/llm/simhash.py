@@ -10,6 +10,9 @@ alternating large-star and small-star steps on the links.
 Defined cases: null and empty texts, and those of white space, have fingerprint zero, linked like any other. A null
 doc_id takes part but is never the smallest unless the component has no other. Repeated rows are rows. An empty table
 gives an empty table. Other columns pass through `near_deduped` whatever their names.
+
+`near_deduped` is a stage, not the query: it joins texts by the exact Jaccard similarity of five-word shingles
+(jaccard.py), since pairs at 0.8 differ in 3 to 14 bits and more, beyond any bound that blocks can search.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import BROADCAST_ROWS, ship, stored
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
@@ -160,11 +164,12 @@ def components(pairs: DataFrame) -> DataFrame:
         state = now
 
 
-def grouped(found: DataFrame) -> DataFrame:
-    """found (doc_id, fp, ...) with component_id, the smallest doc_id of those reachable."""
+def grouped(found: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """found (doc_id, fp, ...) with component_id, the smallest doc_id of those reachable by pairs (a, b) of fp; without
+    pairs, by close fingerprints."""
     per = stored(found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")), "sim-distinct")
     n, total = per.agg(F.count(F.lit(1)), F.sum("rows")).first()
-    roots = components(links(per.select("fp"), n))
+    roots = components(links(per.select("fp"), n) if pairs is None else pairs)
     named = per.join(roots, per["fp"] == roots["node"], "left").select("fp", "rows", "low", F.coalesce("root", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     # Fingerprints of large groups of copies are few (less than 50,000): they go by broadcast, the others by shuffle.
@@ -177,11 +182,14 @@ def grouped(found: DataFrame) -> DataFrame:
     return few.unionByName(rest)
 
 
-def near_deduped(docs: DataFrame) -> DataFrame:
-    """docs without all but the first row (by doc_id, then hash of the text) of each component."""
+def near_deduped(docs: DataFrame, shingle: int = jaccard.SHINGLE, least: int = jaccard.LEAST) -> DataFrame:
+    """docs without all but the first row (by doc_id, then hash of the text) of each component of texts whose shingles
+    have a Jaccard similarity of least percent or more."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    found = stored(fingerprints(docs.select("doc_id", "text")), "sim-fp")
-    out = stored(grouped(found), "sim-groups").withColumn("key", F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), F.col("th").alias("th")))
+    texts = docs.select("doc_id", "text")
+    found = stored(jaccard.shingled(texts, shingle, least), "sim-sets")
+    pairs = jaccard.links(found, texts, components, shingle, least)
+    out = stored(grouped(found.select("doc_id", "th", "fp"), pairs), "sim-groups").withColumn("key", F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), F.col("th").alias("th")))
     component = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
     kept = out.groupBy(component.alias("component")).agg(F.min("key").alias("key"))
     gone = stored(out.select("key").distinct().join(kept.select("key"), "key", "left_anti"), "sim-gone")
