@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import WORD, stored
 
 #: Log2 of the sketch's registers; the standard error is 1.04 / 2 ** (LG_K / 2).
 LG_K = 10
@@ -68,11 +68,11 @@ def line_dedup(docs: DataFrame, min_sites: int = 5) -> DataFrame:
     )
 
 
-def deduped(docs: DataFrame, min_sites: int = 5, least_left: float = 0.2) -> DataFrame:
-    """docs' columns with the clean text; a document of which under least_left of the characters are left goes, for
-    its lines stay where they stand first. n_chars, if there is one, follows the text."""
+def deduped(docs: DataFrame, min_sites: int = 5) -> DataFrame:
+    """docs' columns with the clean text; a document of which only white space is left goes, for its lines stay where
+    they stand first. n_chars, if there is one, follows the text."""
     out = line_dedup(docs, min_sites)
-    out = out.filter((F.col("n_removed") == 0) | (F.length("clean") >= F.lit(least_left) * F.length("row.text")))
+    out = out.filter((F.col("n_removed") == 0) | F.col("clean").rlike(WORD))
     news = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return out.select(*[news.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
