@@ -5,11 +5,13 @@ is the leftmost pair of the lowest rank. A merge changes three leaves, each upda
 the root says that no pair can merge. `merge_word` does so for one word; `merge_words` keeps the trees of many short
 words side by side in arrays and takes one merge of each at a time.
 
-Text is cut into pieces at single blanks and line ends, where the splitting pattern always cuts; texts in which white
-space follows white space are cut by the pattern itself. Distinct pieces are merged once and remembered, up to a bound.
+Text is cut where white space begins, as the splitting pattern always does (pieces.py); what else the pattern cuts is
+left to the tokenizer library's own expressions, and so are the classes of characters beyond ASCII. Distinct pieces are
+merged once and remembered, up to a bound.
 
 Defined cases: null counts as the empty text, which has no ids. Special strings inside texts become their own ids.
-Repeated rows are rows. A null doc_id passes through. An empty table gives an empty table. Whole texts, of any length.
+Repeated rows are rows. A null doc_id passes through, and doc_id keeps its type. An empty table gives an empty table.
+Whole texts, of any length. Other columns may have any name. A vocabulary of another kind is refused (`unlike`).
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import remembered, ship
+from .pieces import Letters, Memory, Pieces, binary, gathered, pieces, runs
 
 #: Pieces in a generation of a worker's memory, and longest word that goes through the side-by-side trees.
-REMEMBERED, SHORT = 140_000, 32
+REMEMBERED, SHORT = 500_000, 32
+#: Words whose trees stand side by side.
+BESIDE = 8192
 NONE = (1 << 62) - 1
 
 
@@ -38,6 +43,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def unlike(file: dict) -> str:
+    """What of a tokenizer file isn't plain byte-level BPE, which alone is built here; empty if nothing."""
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex") or odd:
+        return "not byte-level BPE with the usual splitting pattern, without normaliser and " + ", ".join(odd or ["prefix"])
+    if any(t["lstrip"] or t["rstrip"] or t["content"].split()[1:] or not set(t["content"]) & set("<|>") for t in file["added_tokens"]):
+        return "an added token that takes white space or has none of < | >"
+    return ""
+
+
 @dataclass
 class Vocabulary:
     """ranks: merged pair of ids -> (rank, id); token: id -> bytes; special: string -> id."""
@@ -48,13 +64,17 @@ class Vocabulary:
     token: list[bytes]
     special: dict[str, int]
     keys: object = field(default=None, repr=False)
+    digest: str = ""
 
     @staticmethod
     def read(path: str, pattern: str) -> Vocabulary:
         import numpy as np
 
         with open(path, encoding="utf-8") as f:  # on the driver; the compiled tables go to the executors
-            file = json.load(f)
+            written = f.read()
+        file = json.loads(written)
+        if problem := unlike(file):
+            raise ValueError(f"{path}: {problem}")
         vocab, letters = file["model"]["vocab"], byte_letters()
         byte = {c: bytes([b]) for b, c in enumerate(letters)}
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -66,7 +86,7 @@ class Vocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
         ranks = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         order = sorted((a << 32 | b, r, i) for (a, b), (r, i) in ranks.items())
-        return Vocabulary(pattern, [vocab[c] for c in letters], ranks, token, special, np.array(order, np.int64).T.copy())
+        return Vocabulary(pattern, [vocab[c] for c in letters], ranks, token, special, np.array(order, np.int64).T.copy(), sha256((pattern + written).encode()).hexdigest())
 
 
 def merge_word(voc: Vocabulary, word: bytes) -> list[int]:
@@ -105,24 +125,36 @@ def merge_word(voc: Vocabulary, word: bytes) -> list[int]:
 
 
 def merge_words(voc: Vocabulary, words: list[bytes]) -> list[list[int]]:
-    """The ids of each word: trees side by side, by width."""
+    """The ids of each word."""
+    import numpy as np
+
+    return [np.frombuffer(w, "<i4").tolist() for w in merged(voc, words)]
+
+
+def merged(voc: Vocabulary, words: list[bytes]) -> list[bytes]:
+    """The ids of each word as bytes of 32-bit integers: trees side by side, by width."""
+    import numpy as np
+
     out: list = [None] * len(words)
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
-        if len(w) > SHORT or len(w) < 2:
-            out[k] = merge_word(voc, w)
-        else:
+        if 2 <= len(w) <= SHORT:
             groups.setdefault(1 << (len(w) - 1).bit_length(), []).append(k)
+        else:
+            out[k] = np.array(merge_word(voc, w), "<i4").tobytes()
     for width, ks in groups.items():
-        for k, ids in zip(ks, _side_by_side(voc, [words[k] for k in ks], width), strict=True):
-            out[k] = ids
+        for at in range(0, len(ks), BESIDE):
+            some = ks[at : at + BESIDE]
+            flat, ends = _side_by_side(voc, [words[k] for k in some], width)
+            for k, a, b in zip(some, [0, *ends], ends, strict=False):
+                out[k] = flat[4 * a : 4 * b]
     return out
 
 
-def _side_by_side(voc: Vocabulary, words: list[bytes], width: int) -> list[list[int]]:
+def _side_by_side(voc: Vocabulary, words: list[bytes], width: int) -> tuple[bytes, list[int]]:
     import numpy as np
 
-    m, keys, ranks, made = len(words), *voc.keys
+    m, (keys, ranks, made) = len(words), voc.keys
     raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(m, width)
     size = np.array([len(w) for w in words])
     at = np.arange(width)
@@ -142,8 +174,11 @@ def _side_by_side(voc: Vocabulary, words: list[bytes], width: int) -> list[list[
     def leaf(spot, i):
         return np.where(spot >= 0, ranks[spot] * width + i, NONE)
 
+    letters = np.array(voc.letters)
+    two = pairs(*np.broadcast_arrays(letters[:, None], letters)) if m > 500 else None  # all pairs of bytes
+    spots = pairs(ids[:, :width], np.take_along_axis(ids, after[:, :width], 1)) if two is None else np.where(after[:, :width] < width, two[raw, np.roll(raw, -1, axis=1)], -1)
     tree = np.full((m, 2 * width), NONE)
-    tree[:, width:] = leaf(pairs(ids[:, :width], np.take_along_axis(ids, after[:, :width], 1)), at)
+    tree[:, width:] = leaf(spots, at)
     for k in range(width - 1, 0, -1):
         tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
     rows = np.flatnonzero(tree[:, 1] != NONE)
@@ -168,151 +203,99 @@ def _side_by_side(voc: Vocabulary, words: list[bytes], width: int) -> list[list[
                 k >>= 1
         rows = rows[tree[rows, 1] != NONE]
     ids = ids[:, :width]
-    flat, ends = ids[ids >= 0].tolist(), np.cumsum((ids >= 0).sum(axis=1)).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-
-class Memory:
-    """A bounded map in two generations: what the older holds and is asked for again moves to the younger; when that
-    is full it becomes the older, and what was not asked for since goes."""
-
-    def __init__(self, most: int) -> None:
-        self.most, self.young, self.old = most, {}, {}
-
-    def known(self, used: set, make) -> dict:
-        """A map that has every key of used; make(list of new keys) gives the values of those not held."""
-        if new := used.difference(self.young):
-            if len(self.young) + len(new) > self.most:
-                self.young, self.old = {}, self.young
-                new = used
-            found = {w: self.old[w] for w in new if w in self.old}
-            self.young.update(found)
-            if new := list(new.difference(found)):
-                self.young.update(zip(new, make(new), strict=True))
-        return self.young
+    return ids[ids >= 0].astype("<i4").tobytes(), np.cumsum((ids >= 0).sum(axis=1)).tolist()
 
 
 class Codec:
     """Encodes and decodes texts with a bounded memory of pieces."""
 
     def __init__(self, voc: Vocabulary, most: int = REMEMBERED) -> None:
-        import regex
+        import pyarrow as pa
+        from tokenizers import Regex, pre_tokenizers
 
         self.voc = voc
-        self.pattern = regex.compile(voc.pattern).findall
-        self.twice = re.compile(r"\s\s").search
+        self.split = pre_tokenizers.Split(Regex(voc.pattern), "isolated").pre_tokenize_str
         self.marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(voc.special, key=len, reverse=True)) + ")") if voc.special else None
-        # Pieces as they stand, pieces behind a blank, and what the pattern cuts: to decimal ids.
-        self.first, self.spaced, self.words = Memory(most // 4), Memory(most), Memory(most // 2)
-        self.end = self._ids(["\n"])[0]
-        self.token = {str(i): t for i, t in enumerate(voc.token)}.__getitem__
-
-    def _ids(self, words: list[str]) -> list[str]:
-        return [",".join(map(str, ids)) for ids in merge_words(self.voc, [w.encode() for w in words])]
-
-    def _cut(self, text: str) -> list[str]:
-        """What the pattern finds; a blank, letters and one of these marks need no search."""
-        body = text[1:] if text[:1] == " " else text
-        if body.isalpha():
-            return [text]
-        if body[-1:] in (".", ",", "!", "?", ";", ":") and body[:-1].isalpha():
-            return [text[:-1], text[-1]]
-        return self.pattern(text)
-
-    def _learn(self, texts: list[str]) -> list[str]:
-        """The ids of each text, as decimal text, by way of its words."""
-        cut = [self._cut(t) for t in texts]
-        known = self.words.known({w for ws in cut for w in ws}, self._ids)
-        return [",".join([known[w] for w in ws]) for ws in cut]
+        self.letters = Letters(lambda c: len(self.split(f"x{c}x")) == 1)
+        self.words = Memory(most // 2)
+        merge = lambda words: merged(voc, words)
+        self.pieces = Pieces(most, lambda b: self.letters(b[1:] if b[:1] == " " else b), merge, self._learn)
+        self.decimal = pa.array([f"{i},".encode() for i in range(len(voc.token))], pa.large_binary())
+        self.token = pa.array(voc.token, pa.large_binary())
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of any pieces: special strings have their own, what the pattern cuts is merged."""
+        cut: list[list] = []
+        for p in pieces:
+            parts = self.marks.split(p.decode("utf-8", "replace")) if self.marks else [p.decode("utf-8", "replace")]
+            cut.append([w for s in parts for w in ([s] if s in self.voc.special else [x[0].encode() for x in self.split(s)] if s else [])])
+        new = list({w for ws in cut for w in ws if isinstance(w, bytes)})
+        known = dict(zip(new, self.words.known(new, lambda ws: merged(self.voc, ws)), strict=True))
+        known |= {s: i.to_bytes(4, "little") for s, i in self.voc.special.items()}
+        return [b"".join([known[w] for w in ws]) for ws in cut]
+
+    def ids(self, texts):
+        """The ids of all texts (large binary) in one array, and the bounds of each text in it."""
+        return self.pieces.placed(*pieces(texts))
+
+    def _dealt(self, values, ids, bounds) -> list[memoryview]:
+        """The values of each text's ids, one after another."""
+        import numpy as np
+        import pyarrow as pa
+
+        out = values.take(pa.array(ids))
+        if not len(out):
+            return [memoryview(b"")] * (len(bounds) - 1)
+        ends, data = np.frombuffer(out.buffers()[1], np.int64)[: len(out) + 1][bounds].tolist(), memoryview(out.buffers()[2] or b"")
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def decimals(self, ids, bounds) -> list[memoryview]:
+        """Each text's ids as decimal text joined by commas."""
+        return [x[:-1] for x in self._dealt(self.decimal, ids, bounds)]
+
+    def texts(self, ids, bounds) -> list[bytes]:
+        """The text of each run of ids, as UTF-8; bytes that aren't UTF-8 become U+FFFD."""
+        return [str(x, "utf-8", "replace").encode() for x in self._dealt(self.token, ids, bounds)]
 
     def encode(self, texts: list[str | None]) -> list[str]:
         """Decimal ids joined by commas, for each text."""
-        plans = [self._plan(t or "") for t in texts]
-        lines = [x for plan in plans for x in plan if isinstance(x, list)]
-        first = self.first.known({line[0] for line in lines}, self._learn)
-        spaced = self.spaced.known(set().union(*(line[1:] for line in lines)), lambda ws: self._learn([" " + w for w in ws]))
-        rests = list({x for plan in plans for x in plan if isinstance(x, str)})
-        whole = dict(zip(rests, self._learn(rests), strict=True))
-        out = []
-        for plan in plans:
-            parts: list[str] = []
-            for x in plan:
-                if isinstance(x, list):
-                    parts.append(first[x[0]])
-                    parts.extend([spaced[w] for w in x[1:]])
-                else:
-                    parts.append(str(x) if isinstance(x, int) else self.end if x is None else whole[x])
-            out.append(",".join(filter(None, parts)))
-        return out
-
-    def _plan(self, text: str) -> list:
-        """What a text is made of: pieces of a line (list), a line end (None), uncut text (str), a special id (int)."""
-        plan: list = []
-        for part in self.marks.split(text) if self.marks and self.marks.search(text) else (text,):
-            if part in self.voc.special:
-                plan.append(self.voc.special[part])
-            elif self.twice(part):
-                plan.append(part)
-            elif part:
-                for i, line in enumerate(part.split("\n")):
-                    if i:
-                        plan.append(None)
-                    plan.append(line.split(" "))
-        return plan
+        import pyarrow as pa
 
-    def decode(self, ids: str) -> str:
-        """The text of decimal ids joined by commas; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.token, ids.split(","))).decode("utf-8", "replace") if ids else ""
+        return [str(x, "ascii") for x in self.decimals(*self.ids(binary(pa.array(texts, pa.string()))))]
 
+    def decode(self, ids: str) -> str:
+        """The text of decimal ids joined by commas."""
+        import numpy as np
 
-def some(texts: list, size: int = 1 << 21) -> Iterator[list]:
-    """texts in runs of about size characters, so that what is held at a time doesn't follow the batch."""
-    run, held = [], 0
-    for t in texts:
-        run.append(t)
-        held += len(t or "")
-        if held >= size:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+        some = np.array(ids.split(",") if ids else [], "<i4")
+        return self.texts(some, np.array([0, len(some)]))[0].decode()
 
 
 def encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (of the text decoded from the ids), round_trip."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(voc)
+    sent, digest = docs.sparkSession.sparkContext.broadcast(voc), voc.digest
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = remembered(sent.value, Codec)
-        for batch in batches:
-            rows = []
-            for texts in some(batch.column("text").to_pylist()):
-                for text, ids in zip(texts, codec.encode(texts), strict=True):
-                    back = codec.decode(ids)
-                    rows.append((ids.count(",") + 1 if ids else 0, sha256(ids.encode()).hexdigest(), sha256(back.encode()).hexdigest(), back == (text or "")))
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+        import numpy as np
+
+        codec = remembered(digest, Codec, sent.value)
+        for rows in gathered(batches, "text"):
+            at = 0
+            for texts in runs(binary(rows.column("text"))):
+                ids, bounds = codec.ids(texts)
+                back = codec.texts(ids, bounds)
+                cols = [pa.array(np.diff(bounds)), pa.array([sha256(x).hexdigest() for x in codec.decimals(ids, bounds)]), pa.array([sha256(x).hexdigest() for x in back])]
+                same = pa.array([a == b.as_py() for a, b in zip(back, texts, strict=True)], pa.bool_())
+                yield pa.record_batch([rows.column("doc_id").slice(at, len(texts)), *cols, same], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+                at += len(texts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
-_made: dict = {}
-
-
-def remembered(voc, make):
-    """The worker's codec for a vocabulary, kept from task to task."""
-    key = (make.__name__, len(voc.token), voc.pattern)
-    if key not in _made:
-        _made.clear()
-        _made[key] = make(voc)
-    return _made[key]
-
-
 def vocabulary(name: str = "byte_bpe_50k.json") -> Vocabulary:
     import public_tokenizers
 
@@ -323,20 +306,27 @@ def query(spark, sf_dir: str) -> DataFrame:
     return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def with_tokens(docs: DataFrame, voc: Vocabulary | None = None) -> DataFrame:
-    """docs' columns, and token_ids: each text's ids as array<int>."""
+def with_tokens(docs: DataFrame, voc: Vocabulary | None = None, name: str = "token_ids") -> DataFrame:
+    """docs' columns, and each text's ids as array<int> in a column of this name; with as many underscores behind it as
+    make it another name than theirs."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(voc or vocabulary())
+    voc, taken = voc or vocabulary(), {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    sent, digest = docs.sparkSession.sparkContext.broadcast(voc), voc.digest
 
     @F.pandas_udf("array<int>")
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
+        import pyarrow as pa
 
-        codec = remembered(sent.value, Codec)
+        codec = remembered(digest, Codec, sent.value)
         for texts in parts:
-            # Arrays, for lists of numbers would take ten times the memory.
-            out = [np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for run in some(list(texts)) for x in codec.encode(run)]
+            out = []
+            for run in runs(binary(pa.array(texts, pa.string(), from_pandas=True))):
+                found, bounds = codec.ids(run)
+                # Arrays, for lists of numbers would take ten times the memory.
+                out += [found[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pd.Series(out, dtype=object)
 
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    return docs.select(row.alias("row")).select("row.*", ids(F.col("row.text")).alias("token_ids"))
+    return docs.select(row.alias("row")).select("row.*", ids(F.col("row.text")).alias(name))

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import some
+from .pieces import some
 from .common import ship, stored
 
 ORDER = 5

@@ -26,8 +26,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, merge_word, remembered, some, vocabulary
-from .common import ship
+from .bpe import Vocabulary, merge_word, vocabulary
+from .common import remembered, ship
+from .pieces import some
 
 #: Bytes of a chunk; states of the table before it is compiled anew; columns of the table.
 CHUNK, STATES, WIDTH = 256, 250_000, 512
@@ -310,12 +311,12 @@ class Counter:
 def counted(docs: DataFrame, voc: Vocabulary, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text)."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(voc)
+    sent, digest = docs.sparkSession.sparkContext.broadcast(voc), voc.digest
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counter = remembered(sent.value, Counter)
+        counter = remembered(digest, Counter, sent.value)
         for batch in batches:
             rows = [x for texts in some(batch.column("text").to_pylist(), 4 << 20) for x in counter.counts(texts)]
             sizes, tokens = [r[0] for r in rows], [r[1] for r in rows]

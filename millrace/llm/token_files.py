@@ -7,30 +7,32 @@ level, so `Shard.get(i)` reads one id without decoding others.
 
 Documents are dealt to ranges of doc_id, encoded in that order by the tokenizer library and written as shards of about
 SHARD ids, a document whole in one shard. The file format is Parquet with a row for each shard: part and shard number,
-number of documents and ids, the document offsets, and each level's chunks, bitmap and directory. Spark's committer
-writes the files, so a lost executor or a repeated task leaves no half-written ones. `start` of a document is counted
-from the totals of the ranges before it, a row for each range.
+number of documents and ids, the document offsets, and each level's chunks, bitmap and directory, neither compressed nor
+in dictionaries. A page holds one shard and file names carry the part's number, so `token` reads one page of one file, by
+the column index, and no other id is decoded. Spark's committer writes the files, so a lost executor or a
+repeated task leaves no half-written ones. `start` of a document is counted from the totals of the ranges before it, a
+row for each range.
 
 Defined cases: null counts as the empty text, which has the end id alone. Rows that repeat a doc_id follow each other
-by text. A null doc_id comes after all others. The empty table writes no shard. Only doc_id and text are read.
+by text. A null doc_id comes after all others; doc_id keeps its type. The empty table writes no shard. A very long text is
+one long shard. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from hashlib import sha256
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memory, some
-from .common import shared_path, ship, stored
+from .common import remembered, shared_path, ship, stored
+from .pieces import Letters, Pieces, binary, gathered, runs, words
 
 #: Bits of a chunk; ids of a shard; pieces in a generation of a worker's memory; bits of a directory block.
-CHUNK, SHARD, REMEMBERED, BLOCK = 8, 1 << 18, 400_000, 512
-#: Marks that may close a piece; those of special strings are not among them.
-CLOSING = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+CHUNK, SHARD, REMEMBERED, BLOCK = 8, 1 << 15, 500_000, 512
 
 
 def pack(ids) -> list[tuple[bytes, bytes, bytes]]:
@@ -90,81 +92,82 @@ class Shard:
         return out
 
 
+#: The normaliser and the splitting pattern under which pieces between white space have their own ids (fixed values).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parted(definition: dict) -> bool:
+    """Whether a tokenizer drops white space, lowers case and parts letters from marks, so that pieces may be encoded apart."""
+    normal, split = definition.get("normalizer") or {}, (definition.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    plain = [{k: v for k, v in n.items() if k in ("type", "pattern", "content")} for n in normal.get("normalizers", [])]
+    cut = split[0].get("type") == "Split" and split[0].get("pattern") == {"Regex": PATTERN} and split[0].get("behavior") == "Removed" and split[0].get("invert") is True
+    marked = all(set(t["content"]) & set("<|>") and not t["content"].split()[1:] and not t["lstrip"] and not t["rstrip"] for t in definition.get("added_tokens", []))
+    return plain == NORMALIZERS and cut and [p.get("use_regex") for p in split[1:]] == [False] and marked
+
+
 class Encoder:
-    """The library's ids of texts, as bytes of little-endian uint32. The tokenizer drops white space and never looks
-    across it, so pieces between ASCII white space are encoded apart and remembered, up to a bound. Most pieces are
-    letters and closing marks, which the tokenizer parts as well; new runs of letters go to the library together."""
+    """The library's ids of texts. Where the tokenizer's definition allows (see parted), pieces between ASCII white
+    space are encoded apart and remembered, up to a bound; any other definition gets whole texts."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.pieces, self.letters = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.apart = parted(json.loads(definition))
+        self.pieces = Pieces(REMEMBERED, Letters(self._letter), self._words, self._alone, lower=True)
+
+    def _letter(self, c: str) -> bool:
+        """Whether the tokenizer keeps a character as one letter: it takes it for a part of the word about it."""
+        normal = self.library.normalizer.normalize_str(f"x{c}x")
+        return len(normal) == 3 and len(self.library.pre_tokenizer.pre_tokenize_str(normal)) == 1
 
-    def _alone(self, text: str) -> bytes:
+    def _alone(self, texts: list[bytes]) -> list[bytes]:
         import numpy as np
 
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return [np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters: in one call, parted by the number of the word that each id is of."""
+    def _words(self, bodies: list[bytes]) -> list[bytes]:
+        """Ids of words of letters: many in one call, parted by the number of the word that each id is of."""
         import numpy as np
 
         out: list[bytes] = []
-        for at in range(0, len(words), 2000):
-            run = words[at : at + 2000]
-            found = self.library.encode(" ".join(run), add_special_tokens=False)
-            numbers = found.word_ids
-            if not numbers or numbers[-1] != len(run) - 1:  # lower-casing made something else of a letter
-                out += map(self._alone, run)
+        for at in range(0, len(bodies), 2000):
+            run = bodies[at : at + 2000]
+            found = self.library.encode(b" ".join(run).decode(), add_special_tokens=False)
+            of = np.array(found.word_ids, np.int64)
+            ends = np.searchsorted(of, np.arange(len(run) + 1)).tolist()
+            if not len(of) or of[-1] != len(run) - 1 or 0 in np.diff(ends):
+                out += self._alone(run)
                 continue
-            ids, ends = np.array(found.ids, "<u4"), np.searchsorted(np.array(numbers), np.arange(len(run) + 1)).tolist()
-            out += [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            ids = np.array(found.ids, "<i4").tobytes()
+            out += [ids[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
         return out
 
-    def _make(self, pieces: list[bytes]) -> list[bytes]:
-        texts = [p.decode() for p in pieces]
-        bodies = [t.rstrip(CLOSING) for t in texts]
-        bodies = [b.lower() if b.isascii() else b for b in bodies]  # as the tokenizer does
-        plain = {b for b in bodies if b.isalpha()}
-        known = self.letters.known(plain, self._letters)
-        tails: dict[str, bytes] = {"": b""}
-        out = []
-        for t, b in zip(texts, bodies, strict=True):
-            if b in plain:
-                tail = t[len(b) :]
-                if tail not in tails:
-                    tails[tail] = self._alone(tail)
-                out.append(known[b] + tails[tail])
-            else:
-                out.append(self._alone(t))
-        return out
-
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        cut = [(t or b"").split() for t in texts]
-        known = self.pieces.known(set().union(*cut), self._make)
-        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
-
+    def ids(self, texts):
+        """The ids of all texts (large binary) in one array, and the bounds of each text in it."""
+        import numpy as np
 
-_made: dict = {}
+        if self.apart:
+            return self.pieces.placed(*words(texts))
+        made = self._alone(texts.to_pylist())
+        return np.frombuffer(b"".join(made), "<i4"), np.cumsum([0, *(len(m) // 4 for m in made)])
 
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        import pyarrow as pa
 
-def _encoder(definition: str) -> Encoder:
-    key = hash(definition)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Encoder(definition)
-    return _made[key]
+        ids, ends = self.ids(binary(pa.array(texts, pa.binary())))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def read_definition(path: str) -> str:
     """The tokenizer file, without truncation and padding."""
-    import json
-
     with open(path, encoding="utf-8") as f:  # on the driver; the text goes to the executors
         return json.dumps(json.load(f) | {"truncation": None, "padding": None})
 
 
+#: A page of a file is one shard's, as it is: no compression, no dictionaries.
+PAGES = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
 FORMAT = "part int, shard int, n_docs long, n_ids long, doc_ids array<{kind}>, offsets binary, levels array<struct<chunks: binary, bitmap: binary, directory: binary>>"
 
 
@@ -172,7 +175,7 @@ def write(docs: DataFrame, definition: str, path: str, end_id: int = 2) -> None:
     """Writes the ids of docs (doc_id, text), each followed by end_id, to path, in ascending doc_id order."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(definition)
+    sent, digest = spark.sparkContext.broadcast(definition), sha256(definition.encode()).hexdigest()
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranged = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     ranged = ranged.repartitionByRange(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
@@ -182,37 +185,30 @@ def write(docs: DataFrame, definition: str, path: str, end_id: int = 2) -> None:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, shard = _encoder(sent.value), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        ids: list = []
-        texts: list[bytes] = []
-        id_type = None
-
-        def flush():
-            whole = np.frombuffer(b"".join(texts), "<u4")
-            sizes = np.array([len(t) // 4 for t in texts])
-            levels = [dict(zip(("chunks", "bitmap", "directory"), x, strict=True)) for x in pack(whole)]
-            kinds = pa.list_(pa.struct([(n, pa.binary()) for n in ("chunks", "bitmap", "directory")]))
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes()
-            cols = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(whole)], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([offsets], pa.binary()), pa.array([levels], kinds)]
-            return pa.record_batch(cols, names=["part", "shard", "n_docs", "n_ids", "doc_ids", "offsets", "levels"])
-
-        held = 0
-        for batch in batches:
-            id_type = batch.schema.field("doc_id").type
-            keys = iter(batch.column("doc_id").to_pylist())
-            for run_ in some(batch.column("text").to_pylist()):
-                for got in encode(run_):
-                    ids.append(next(keys))
-                    texts.append(got + end)
-                    held += len(got) // 4 + 1
-                    if held >= SHARD:
-                        yield flush()
-                        ids, texts, held, shard = [], [], 0, shard + 1
-        if ids:
-            yield flush()
-
-    ranged.mapInArrow(run, FORMAT.format(kind=kind)).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        encoder, part, shard = remembered(digest, Encoder, sent.value), TaskContext.get().partitionId(), 0
+        kinds = pa.struct([(n, pa.binary()) for n in ("chunks", "bitmap", "directory")])
+        for rows in gathered(batches, "text"):
+            texts, at = binary(rows.column("text")), 0
+            for texts in runs(texts):
+                ids, ends = encoder.ids(texts)
+                ids, ends = np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+                while len(ends) > 1:
+                    n = min(len(ends) - 1, int(np.searchsorted(ends, ends[0] + SHARD)))
+                    whole = ids[ends[0] : ends[n]]
+                    levels = [dict(zip(("chunks", "bitmap", "directory"), x, strict=True)) for x in pack(whole)]
+                    keys = rows.column("doc_id").slice(at, n)
+                    lists = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), keys)
+                    cols = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([len(whole)], pa.int64()), lists, pa.array([(ends[: n + 1] - ends[0]).astype("<i8").tobytes()], pa.binary()), pa.array([levels], pa.list_(kinds))]
+                    yield pa.record_batch(cols, names=["part", "shard", "n_docs", "n_ids", "doc_ids", "offsets", "levels"])
+                    ends, at, shard = ends[n:], at + n, shard + 1
+
+    ranged.mapInArrow(run, FORMAT.format(kind=kind)).write.mode("overwrite").options(**PAGES).parquet(path)
+
+
+def token(spark, path: str, part: int, shard: int, i: int) -> int:
+    """The i-th id of a shard, from the page that the shard's row stands in."""
+    rows = spark.read.parquet(f"{path}/part-{part:05d}-*").filter(F.col("shard") == shard).select("levels").collect()
+    return Shard([(x.chunks, x.bitmap, x.directory) for x in rows[0].levels]).get(i)
 
 
 def documents(spark, path: str) -> DataFrame:
@@ -233,8 +229,9 @@ def documents(spark, path: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 one = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                shard, ends = Shard([(x["chunks"], x["bitmap"], x["directory"]) for x in one["levels"]]), np.frombuffer(one["offsets"], "<i8")
-                crcs = [zlib.crc32(shard.slice(a, b).astype("<u4").tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                ends = np.frombuffer(one["offsets"], "<i8")
+                ids = memoryview(Shard([(x["chunks"], x["bitmap"], x["directory"]) for x in one["levels"]]).slice(0, int(ends[-1])).astype("<u4").tobytes())
+                crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.record_batch([batch.column("doc_ids")[row].values, pa.array(one["start"] + ends[:-1]), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = shards.join(starts, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s"))).select("start", "doc_ids", "offsets", "levels")
