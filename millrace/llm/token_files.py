@@ -178,7 +178,7 @@ def write(docs: DataFrame, definition: str, path: str, end_id: int = 2) -> None:
     sent, digest = spark.sparkContext.broadcast(definition), sha256(definition.encode()).hexdigest()
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranged = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    ranged = ranged.repartitionByRange(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    ranged = ranged.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
