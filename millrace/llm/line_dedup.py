@@ -7,7 +7,8 @@ one more, of the threshold, the line's sources are counted exactly. A boilerplat
 
 Defined cases: empty lines are no lines to remove and stay; null text stays null. A null source is a site of its own.
 A null doc_id comes after all others. Rows that repeat a doc_id and its text are cleaned alike. Line ends other than
-\\n belong to the line. An empty table gives an empty table. Other columns pass through whatever their names.
+\\n belong to the line. Very long texts are cut like any other. An empty table gives an empty table. Other columns pass
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, lookup, stored
 
 #: Log2 of the sketch's registers; the standard error is 1.04 / 2 ** (LG_K / 2).
 LG_K = 10
@@ -45,7 +46,7 @@ def boilerplate(lines: DataFrame, min_sites: int = 5) -> DataFrame:
     spread = stored(spread, "line-spread")
     band = 1 + 3 * 1.04 / 2 ** (LG_K / 2) * min_sites
     near = spread.filter(F.abs(F.col("sites") - min_sites) <= band)
-    exact = lines.join(near.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "site").distinct().groupBy("k1", "k2").count().filter(F.col("count") >= min_sites)
+    exact = lookup(lines, near.select("k1", "k2"), ["k1", "k2"], near.count(), F.col("rid"), "left_semi").select("k1", "k2", "site").distinct().groupBy("k1", "k2").count().filter(F.col("count") >= min_sites)
     sure = spread.filter(F.col("sites") - min_sites > band).select("k1", "k2", "first")
     return sure.unionByName(near.join(exact.select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "first"))
 
@@ -56,7 +57,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 5) -> DataFrame:
     lines = stored(_lines(packed), "lines")
     found = stored(boilerplate(lines, min_sites), "line-boilerplate")
     here = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), F.col("pos").alias("at"))
-    gone = lines.join(found, ["k1", "k2"]).filter(~here.eqNullSafe(F.col("first"))).groupBy(F.col("doc_id").alias("d"), F.col("rid").alias("r")).agg(F.collect_set("pos").alias("gone"))
+    # Boilerplate lines are the most frequent keys there are: broadcast if they are few, else salted.
+    gone = lookup(lines, found, ["k1", "k2"], found.count(), F.col("rid")).filter(~here.eqNullSafe(F.col("first"))).groupBy(F.col("doc_id").alias("d"), F.col("rid").alias("r")).agg(F.collect_set("pos").alias("gone"))
     out = packed.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left")
     parts = F.split("text", "\n", -1)
     kept = F.concat_ws("\n", F.filter(parts, lambda _, i: ~F.array_contains("gone", i)))
