@@ -6,9 +6,10 @@ histograms of words by (source, hash bucket): the bucket in which the running to
 12 bits at a time, until it holds a single hash value. Nothing is sorted but those small histograms.
 
 Defined cases: null source is a source of its own, last in order. Null or empty text has size 0; such a document is
-taken 0 words and kept once by `mixed`. Rows that repeat a doc_id share its hash and are taken alike. A null doc_id
-hashes as the empty text. The empty table gives the empty table. Other columns, whatever their names, pass through.
-The sources are the dimension of the mix: their table (one row a source) is ranked in one task.
+taken 0 words and kept once by `mixed`. Rows that repeat a doc_id share its hash and are taken alike; rows without a
+doc_id share one if they share the text. Very long texts are counted whole. The empty table gives the empty table. Other
+columns, whatever their names, pass through. The sources are the dimension of the mix: their table, two numbers and a
+name each, is ranked in one task, so `source` is to have millions of values at most; a column such as a URL isn't one.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from .common import lookup, n_words, stored
 BITS, LEVELS = 12, 5
 
 
-def id_hash(doc_id: Column) -> Column:
-    """60 bits of the md5 of the id as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def id_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the md5 of the id as text, or of the text where the id is null."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("="), text), F.lit(""))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -80,7 +82,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs packed as `row`, with size, source_size, target, and taken: the words that the mix takes, repeats counted."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    sized = rows.select("row", F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"), id_hash(F.col("row.doc_id")).alias("hash"))
+    sized = rows.select("row", F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"), id_hash(F.col("row.doc_id"), F.col("row.text")).alias("hash"))
     sizes = stored(sized.select("source", "size", "hash"), "mix-sizes")
     return _taken(sized, sizes, **options)
 
@@ -99,7 +101,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
+    slim = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), id_hash(F.col("doc_id"), F.col("text")).alias("hash")), "mix-sizes")
     return _taken(slim, slim).select("doc_id", "size", "source_size", "target", "taken")
 
 
