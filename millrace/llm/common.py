@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +22,8 @@ BROADCAST_ROWS = 200_000
 #: Most rows of a batch that goes to a Python worker.
 DOCUMENTS = 1000
 
-_written: list[str] = []
+#: What scratch() has collected so far, in the context that runs.
+_scope: ContextVar[list[str] | None] = ContextVar("_scope", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,37 +31,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder of this
+    machine serves a local master, as in tests; a cluster has to name one."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
 
 
-def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path in the shared folder; release() deletes it unless it is to be kept."""
+def _hadoop(spark: SparkSession, path: str):
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), held
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. It goes when the scratch() about it ends, else with the driver (see written)."""
     path = f"{shared_dir(spark).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        _written.append(path)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
+    return path
+
+
+def written(spark: SparkSession, path: str) -> str:
+    """path, which has been written, to be deleted when the driver's file systems close."""
+    fs, held = _hadoop(spark, path)
+    fs.deleteOnExit(held)
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, held = _hadoop(spark, path)
+    fs.delete(held, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives the loss of executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes what stored() has written so far; only for callers who have written out every result."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df.sparkSession, path))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators have stored within it; for callers who write out their results inside."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            delete(spark, path)
 
 
 def ship(spark: SparkSession) -> None:

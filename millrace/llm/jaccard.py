@@ -1,10 +1,13 @@
-"""Near copies by the Jaccard similarity of word shingles, exact: prefix filter, then every candidate is checked.
+"""Near copies by the Jaccard similarity of word shingles, exact: what SimHash blocks bring together and what a prefix
+filter leaves is checked on the shingles themselves.
 
-Two sets of n shingles whose similarity is t or more share one of the first n - ceil(t n) + 1 shingles of each in any
+Pairs of fingerprints that share blocks (simhash.py) are checked first; they join most copies, and what they have joined
+isn't looked at again. Fingerprints of sets of similarity 0.8 may differ in 14 bits and more, beyond any bound that blocks
+can search, so the rest is found by prefixes. Two sets of n shingles whose similarity is t or more share one of the first n - ceil(t n) + 1 shingles of each in any
 common order. The order puts shingles that are often in a sample of the documents last, so a common passage gives few
-candidates; it decides on the work only, never on the result. Sets are equal by a 64-bit hash; other pairs that the
-prefixes don't rule out are checked on the shingles themselves. Shingles with up to PAIRS sets give every pair that sizes and positions allow. A larger
-group gives pairs with one set of it, for a few turns, and at last each pair that these links haven't joined.
+candidates; it decides on the work only, never on the result. Sets are equal by a 64-bit hash. Shingles with up to PAIRS
+sets give every pair that sizes and positions allow and that isn't joined yet. A larger group gives pairs with one set of
+it, and then, in slices that are tasks of their own, each pair that these links haven't joined.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from .common import BROADCAST_ROWS, ship, stored
 #: Words of a shingle; least similarity in percent.
 SHINGLE, LEAST = 5, 80
 SEED = 42
-#: Most sets that share a shingle and are all paired at once; turns of pairs with one set for those beyond.
-PAIRS, TURNS = 64, 4
+#: Most sets that share a shingle and are all paired at once; most of a slice of those beyond.
+PAIRS, SLICE = 64, 4096
 #: About the documents in the sample for the order, and the most shingles that it puts last.
 SAMPLE, OFTEN = 10_000, 50_000
 #: Rows that are paired together.
@@ -40,10 +43,21 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> list[bytes]:
 
 
 def _hashes(text: bytes | None, shingle: int):
+    """The hashes of the shingles, repeats included."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in shingles(text, shingle)], "u8"))
+    return np.array([xxh64_intdigest(s, SEED) for s in shingles(text, shingle)], "u8")
+
+
+def simhash(hashes) -> int:
+    """The signed 64-bit SimHash of a text's hashes: bits that over half of them have."""
+    import numpy as np
+
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def similar(a: frozenset, b: frozenset, least: int = LEAST) -> bool:
@@ -59,7 +73,7 @@ def _often(docs: DataFrame, shingle: int) -> list:
         import pyarrow as pa
 
         for batch in batches:
-            found = [_hashes(t, shingle) for t in batch.column("text").to_pylist()]
+            found = [np.unique(_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, "u8"), *found]).view("i8"))], names=["h"])
 
     texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
@@ -69,8 +83,8 @@ def _often(docs: DataFrame, shingle: int) -> list:
 
 
 def shingled(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """doc_id, th (hash of the text), fp (hash of the set of shingles), n (its size) and keys (its prefix) for each
-    row of docs (doc_id, text)."""
+    """doc_id, th (hash of the text), fp (hash of the set of shingles), n (its size), keys (its prefix) and sim (the
+    SimHash of the shingles, repeats included) for each row of docs (doc_id, text)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(sorted((h & (2**64 - 1), n) for h, n in _often(docs, shingle)))
 
@@ -82,9 +96,11 @@ def shingled(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Dat
         often = np.array([h for h, _ in sent.value] + [2**64 - 1], "u8")
         times = np.array([n for _, n in sent.value] + [0], "i8")
         for batch in batches:
-            fps, sizes, keys = [], [], []
+            fps, sizes, keys, sims = [], [], [], []
             for t in batch.column("text").to_pylist():
                 hs = _hashes(t, shingle)
+                sims.append(simhash(hs))
+                hs = np.unique(hs)
                 at = np.searchsorted(often, hs)
                 late = np.where(often[at] == hs, times[at], 0)
                 first = len(hs) - -(-least * len(hs) // 100) + 1 if len(hs) else 0
@@ -92,10 +108,10 @@ def shingled(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Dat
                 sizes.append(len(hs))
                 keys.append(hs[np.lexsort((hs, late))[:first]].view("i8"))
             fps = pa.array(np.array(fps, "u8").view("i8"))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), fps, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "fp", "n", "keys"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), fps, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sims, pa.int64())], names=["doc_id", "th", "fp", "n", "keys", "sim"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, n int, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, n int, keys array<long>, sim long")
 
 
 def _whole(batches: Iterator, names: tuple) -> Iterator:
@@ -137,17 +153,16 @@ def _possible(n, pos, i, j, least: int):
     return (100 * np.minimum(a, b) >= least * np.maximum(a, b)) & ((100 + least) * most >= least * (a + b))
 
 
-def _paired(key, fp, n, pos, least: int, label=None) -> Iterator:
-    """Every possible pair of rows that share a key (and differ in label)."""
+def _paired(key, fp, n, pos, least: int, label, task=None) -> Iterator:
+    """Every possible pair of rows that share a key (and a task) and differ in label."""
     import numpy as np
 
     for d in range(1, len(key)):
-        i = np.flatnonzero(key[d:] == key[:-d])
+        i = np.flatnonzero((key[d:] == key[:-d]) & (True if task is None else task[d:] == task[:-d]))
         if not len(i):
             return
+        i = i[label[i] != label[i + d]]
         ok = _possible(n, pos, i, i + d, least)
-        if label is not None:
-            ok &= label[i] != label[i + d]
         yield fp[i[ok]], fp[i[ok] + d]
 
 
@@ -181,9 +196,23 @@ def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, l
     return stored(rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
 
 
-def links(found: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE, least: int = LEAST, most: int = PAIRS) -> DataFrame:
-    """a, b: links that join all sets of found (see shingled) that are similar, directly or in steps."""
-    sets = stored(found.select("fp", "th", "n", "keys").dropDuplicates(["fp"]), "near-sets")
+def links(found: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE, least: int = LEAST, most: int = PAIRS, close=None) -> DataFrame:
+    """a, b: links that join all sets of found (see shingled) that are similar, directly or in steps.
+
+    components(pairs): node and root of those joined; close(sims): pairs of the distinct fingerprints sim that are close."""
+    sets = stored(found.select("fp", "th", "n", "keys", "sim").dropDuplicates(["fp"]), "near-sets")
+    linked = None
+    if close is not None:
+        heads = stored(sets.groupBy("sim").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")), "near-sims")
+        head = lambda of, name: heads.select(F.col("sim").alias(of), F.col("head").alias(name))
+        far = close(heads.select("sim")).join(head("a", "x"), "a").join(head("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        same = sets.join(heads.filter("n > 1").select("sim", "head"), "sim").filter("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+        linked = _checked(far.unionByName(same), sets, docs, shingle, least)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if linked is None:
+            return rows.withColumn("label", F.col("fp"))
+        return rows.join(components(linked), F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("root", "fp")).drop("node", "root")
 
     def first(batches: Iterator) -> Iterator:
         import numpy as np
@@ -191,43 +220,40 @@ def links(found: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE,
 
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         out = lambda *cols: pa.record_batch([pa.array(c, t) if c is not None else pa.nulls(len(cols[0]), t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "key", "n", "pos"])
-        for key, fp, n, pos in _whole(batches, ("key", "fp", "n", "pos")):
+        for key, fp, n, pos, label in _whole(batches, ("key", "fp", "n", "pos", "label")):
             start, size = _starts(key)
             some = np.flatnonzero((size > 1) & (size <= most))
-            for a, b in _paired(key[some], fp[some], n[some], pos[some], least):
+            for a, b in _paired(key[some], fp[some], n[some], pos[some], least, label[some]):
                 yield out(a, b, None, None, None)
             large = np.flatnonzero(size > most)
             if len(large):
+                i = large[label[large] != label[start[large]]]
+                i = i[_possible(n, pos, start[i], i, least)]
+                yield out(fp[start[i]], fp[i], None, None, None)
                 yield out(fp[large], None, key[large], n[large], pos[large])
 
-    keys = sets.select("fp", "n", F.posexplode("keys").alias("pos", "key"))
-    got = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(first, "a long, b long, key long, n int, pos int"), "near-first")
-    linked = _checked(got.filter("key IS NULL").select("a", "b"), sets, docs, shingle, least)
+    keys = labelled(sets.select("fp", "n", "keys")).select("fp", "n", "label", F.posexplode("keys").alias("pos", "key"))
+    got = stored(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(first, "a long, b long, key long, n int, pos int"), "near-first")
+    found = _checked(got.filter("key IS NULL").select("a", "b"), sets, docs, shingle, least)
+    linked = found if linked is None else linked.unionByName(found)
     large = got.filter("key IS NOT NULL").select("key", F.col("a").alias("fp"), "n", "pos")
-    turn, any_large = 0, not large.isEmpty()
-    while any_large:
-        roots = components(linked)
-        labelled = large.join(roots, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("root", "fp")).withColumn("turn", F.xxhash64("fp", F.lit(turn)))
-
-        def across(batches: Iterator, last: bool = turn == TURNS) -> Iterator:
-            import numpy as np
-            import pyarrow as pa
-
-            for key, fp, n, pos, label in _whole(batches, ("key", "fp", "n", "pos", "label")):
-                if last:
-                    found = _paired(key, fp, n, pos, least, label)
-                else:
-                    start, _ = _starts(key)
-                    i = np.flatnonzero(label != label[start])
-                    i = i[_possible(n, pos, start[i], i, least)]
-                    found = [(fp[start[i]], fp[i])]
-                for a, b in found:
-                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        rows = labelled.select("key", "fp", "n", "pos", "label", "turn").repartition("key").sortWithinPartitions("key", "turn")
-        new = _checked(rows.mapInArrow(across, "a long, b long"), sets, docs, shingle, least)
-        linked = linked.unionByName(new)
-        if turn == TURNS:
-            break
-        turn = TURNS if new.isEmpty() else turn + 1
-    return linked
+    if large.isEmpty():
+        return linked
+
+    def rest(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for task, key, fp, n, pos, label in _whole(batches, ("task", "key", "fp", "n", "pos", "label")):
+            for a, b in _paired(key, fp, n, pos, least, label, task):
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    # Only keys whose sets are still apart have anything left to pair.
+    rows = stored(labelled(large), "near-rest")
+    open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    rows = rows.join(open_.select("key", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "key")
+    own = F.pmod(F.xxhash64("fp", "key"), F.col("slices")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.withColumn("task", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select("task", "key", "fp", "n", "pos", "label")
+    pairs = rows.repartition("task").sortWithinPartitions("task", "key", "fp").mapInArrow(rest, "a long, b long")
+    return linked.unionByName(_checked(pairs, sets, docs, shingle, least))

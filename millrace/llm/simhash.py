@@ -11,8 +11,9 @@ Defined cases: null and empty texts, and those of white space, have fingerprint
 doc_id takes part but is never the smallest unless the component has no other. Repeated rows are rows. An empty table
 gives an empty table. Other columns pass through `near_deduped` whatever their names.
 
-`near_deduped` is a stage, not the query: it joins texts by the exact Jaccard similarity of five-word shingles
-(jaccard.py), since pairs at 0.8 differ in 3 to 14 bits and more, beyond any bound that blocks can search.
+`near_deduped` is a stage, not the query: it joins texts by the exact Jaccard similarity of five-word shingles, 0.8 or
+more. The blocks and walks over SimHashes of those shingles give the first candidates; as pairs at 0.8 may differ in 14 bits
+and more, beyond any bound that blocks can search, a prefix filter finds the others (jaccard.py).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from itertools import accumulate, combinations
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import jaccard
@@ -80,19 +81,20 @@ def n_blocks(n: int) -> int:
 
 
 def _walk(fps, distance: int) -> list[tuple[int, int]]:
-    """Links (root, other) that span the parts of the distinct fingerprints fps (uint64) joined by close pairs."""
+    """Close pairs that span the parts of the distinct fingerprints fps (uint64) joined by close pairs."""
     import numpy as np
 
     rest, links = np.sort(fps), []
     while len(rest) > 1:
-        root, front, rest = rest[0], rest[:1], rest[1:]
+        front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
-            near = np.zeros(len(rest), bool)
+            by = np.full(len(rest), -1)
             for at in range(0, len(front), 256):
-                left = ~near
-                near[left] = (np.bitwise_count(rest[left][None, :] ^ front[at : at + 256, None]) <= distance).any(axis=0)
-            front, rest = rest[near], rest[~near]
-            links += [(root, x) for x in front]
+                left = np.flatnonzero(by < 0)
+                near = np.bitwise_count(rest[left][None, :] ^ front[at : at + 256, None]) <= distance
+                by[left] = np.where(near.any(axis=0), at + near.argmax(axis=0), -1)
+            links += zip(front[by[by >= 0]], rest[by >= 0], strict=True)
+            front, rest = rest[by >= 0], rest[by < 0]
     return links
 
 
@@ -146,22 +148,35 @@ def links(fps: DataFrame, n: int, group: int = GROUP) -> DataFrame:
     return found.distinct()
 
 
+def _minima(rows: DataFrame, low: DataFrame, often: int) -> DataFrame:
+    """u, v, m of rows (u, v) and low (u, m, n: rows of u). Those with over `often` rows are few, for n adds up to the
+    rows: they go by broadcast, so that no node's rows meet in one task; the others by shuffle."""
+    hot = F.broadcast(low.filter(F.col("n") > often).select(F.col("u").alias("h"), F.col("m").alias("hm")))
+    marked = rows.join(hot, F.col("u") == F.col("h"), "left")
+    few = marked.filter("h IS NOT NULL").select("u", "v", F.col("hm").alias("m"))
+    return few.unionByName(marked.filter("h IS NULL").select("u", "v").join(low.filter(F.col("n") <= often).select("u", "m"), "u"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for every node of pairs (a, b) that isn't a root itself."""
-    edges = stored(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    state = None
-    while True:
+
+    def kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = stored(edges.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "cc")
+        return out, (seen.get["n"], seen.get["x"])
+
+    edges, state = kept(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    while state[0]:
+        often = max(200, state[0] // 20_000)  # at most 20,000 nodes have more rows, of two longs each
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "cc")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = stored(_minima(both.filter("v > u"), low, often).select(F.col("v").alias("u"), F.col("m").alias("v")), "cc")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _minima(large, low, often).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        before, (edges, state) = state, kept(small)
+        if state == before:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def grouped(found: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -182,13 +197,18 @@ def grouped(found: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     return few.unionByName(rest)
 
 
+def close(sims: DataFrame) -> DataFrame:
+    """a, b: pairs of distinct fingerprints (one column) at most DISTANCE bits apart, enough to join all such pairs."""
+    return links(sims.select(F.col(sims.columns[0]).alias("fp")), sims.count())
+
+
 def near_deduped(docs: DataFrame, shingle: int = jaccard.SHINGLE, least: int = jaccard.LEAST) -> DataFrame:
     """docs without all but the first row (by doc_id, then hash of the text) of each component of texts whose shingles
     have a Jaccard similarity of least percent or more."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     texts = docs.select("doc_id", "text")
     found = stored(jaccard.shingled(texts, shingle, least), "sim-sets")
-    pairs = jaccard.links(found, texts, components, shingle, least)
+    pairs = jaccard.links(found, texts, components, shingle, least, close=close)
     out = stored(grouped(found.select("doc_id", "th", "fp"), pairs), "sim-groups").withColumn("key", F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), F.col("th").alias("th")))
     component = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
     kept = out.groupBy(component.alias("component")).agg(F.min("key").alias("key"))

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remembered, shared_path, ship, stored
+from .common import remembered, shared_path, ship, stored, written
 from .pieces import Letters, Pieces, binary, gathered, runs, words
 
 #: Bits of a chunk; ids of a shard; pieces in a generation of a worker's memory; bits of a directory block.
@@ -243,4 +243,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     path = shared_path(spark, "tokens")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_definition(public_tokenizers.path("word_bpe_49k.json")), path)
-    return documents(spark, path)
+    return documents(spark, written(spark, path))

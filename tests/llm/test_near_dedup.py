@@ -2,30 +2,11 @@ import random
 
 import pytest
 
-from millrace.llm import jaccard, simhash
+pytest.importorskip("millrace.llm.simhash")
 
+from tests_llm_brute import near_copies as brute  # noqa: E402
 
-def brute(texts, shingle=5):
-    """The ids that stay: the smallest of each group joined by pairs of Jaccard similarity 0.8 or more."""
-    sets = {}
-    for d, t in texts.items():
-        words = t.lower().split()
-        sets[d] = {" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-    root = {d: d for d in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids, n = sorted(sets), 0
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
-                n += sets[a] != sets[b]
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {d for d in ids if find(d) == d}, n
+from millrace.llm import jaccard, simhash  # noqa: E402
 
 
 def corpus(seed):
