@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from .common import remembered, ship
 from .pieces import Letters, Memory, Pieces, binary, gathered, pieces, runs
 
 #: Pieces in a generation of a worker's memory, and longest word that goes through the side-by-side trees.
-REMEMBERED, SHORT = 500_000, 32
+REMEMBERED, SHORT = 250_000, 32
 #: Words whose trees stand side by side.
 BESIDE = 8192
 NONE = (1 << 62) - 1
@@ -210,7 +210,6 @@ class Codec:
     """Encodes and decodes texts with a bounded memory of pieces."""
 
     def __init__(self, voc: Vocabulary, most: int = REMEMBERED) -> None:
-        import pyarrow as pa
         from tokenizers import Regex, pre_tokenizers
 
         self.voc = voc
@@ -241,7 +240,6 @@ class Codec:
     def _dealt(self, values, ids, bounds) -> list[memoryview]:
         """The values of each text's ids, one after another."""
         import numpy as np
-        import pyarrow as pa
 
         out = values.take(pa.array(ids))
         if not len(out):
@@ -259,8 +257,6 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[str]:
         """Decimal ids joined by commas, for each text."""
-        import pyarrow as pa
-
         return [str(x, "ascii") for x in self.decimals(*self.ids(binary(pa.array(texts, pa.string()))))]
 
     def decode(self, ids: str) -> str:
@@ -277,8 +273,6 @@ def encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
     sent, digest = docs.sparkSession.sparkContext.broadcast(voc), voc.digest
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         import numpy as np
 
         codec = remembered(digest, Codec, sent.value)
@@ -315,18 +309,15 @@ def with_tokens(docs: DataFrame, voc: Vocabulary | None = None, name: str = "tok
         name += "_"
     sent, digest = docs.sparkSession.sparkContext.broadcast(voc), voc.digest
 
-    @F.pandas_udf("array<int>")
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import pyarrow as pa
-
+    @F.arrow_udf("array<int>")
+    def ids(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = remembered(digest, Codec, sent.value)
         for texts in parts:
             out = []
-            for run in runs(binary(pa.array(texts, pa.string(), from_pandas=True))):
+            for run in runs(binary(texts)):
                 found, bounds = codec.ids(run)
-                # Arrays, for lists of numbers would take ten times the memory.
-                out += [found[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pd.Series(out, dtype=object)
+                out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found)))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     return docs.select(row.alias("row")).select("row.*", ids(F.col("row.text")).alias(name))

@@ -3,11 +3,12 @@ filter leaves is checked on the shingles themselves.
 
 Pairs of fingerprints that share blocks (simhash.py) are checked first; they join most copies, and what they have joined
 isn't looked at again. Fingerprints of sets of similarity 0.8 may differ in 14 bits and more, beyond any bound that blocks
-can search, so the rest is found by prefixes. Two sets of n shingles whose similarity is t or more share one of the first n - ceil(t n) + 1 shingles of each in any
-common order. The order puts shingles that are often in a sample of the documents last, so a common passage gives few
-candidates; it decides on the work only, never on the result. Sets are equal by a 64-bit hash. Shingles with up to PAIRS
-sets give every pair that sizes and positions allow and that isn't joined yet. A larger group gives pairs with one set of
-it, and then, in slices that are tasks of their own, each pair that these links haven't joined.
+can search, so the rest is found by prefixes. Two sets of n shingles whose similarity is t or more share SHARED of the
+first n - ceil(t n) + SHARED shingles of each in any common order. The order puts shingles that are often in a sample of
+the documents last, so a common passage gives few candidates; it decides on the work only, never on the result. Sets are
+equal by a 64-bit hash. Shingles with up to PAIRS sets give every pair that sizes and positions allow and that isn't joined yet; those given by SHARED of them are checked.
+A larger group gives pairs with one set of it, and then, in slices that are tasks of their own, each pair that these links
+haven't joined, so a pair that shares such a shingle need not be counted.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SHINGLE, LEAST = 5, 80
 SEED = 42
 #: Most sets that share a shingle and are all paired at once; most of a slice of those beyond.
 PAIRS, SLICE = 64, 4096
+#: Shingles of the prefixes that two sets must share; sets that differ and are 80 percent similar share four at least.
+SHARED = 3
 #: About the documents in the sample for the order, and the most shingles that it puts last.
 SAMPLE, OFTEN = 10_000, 50_000
 #: Rows that are paired together.
@@ -103,7 +106,7 @@ def shingled(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Dat
                 hs = np.unique(hs)
                 at = np.searchsorted(often, hs)
                 late = np.where(often[at] == hs, times[at], 0)
-                first = len(hs) - -(-least * len(hs) // 100) + 1 if len(hs) else 0
+                first = len(hs) - -(-least * len(hs) // 100) + SHARED
                 fps.append(xxh64_intdigest(hs.tobytes(), SEED))
                 sizes.append(len(hs))
                 keys.append(hs[np.lexsort((hs, late))[:first]].view("i8"))
@@ -175,8 +178,14 @@ def _likely(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return both.filter((100 + least) * most >= least * (F.col("n") + F.col("m"))).select("a", "b")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, least: int) -> DataFrame:
-    """Those of pairs (a, b) that are similar. sets: fp, n, keys and th of a text of each set."""
+def _of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of sets that stand in pairs."""
+    fps = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "near-of")
+    return sets.join(F.broadcast(fps) if fps.count() <= BROADCAST_ROWS else fps, "fp", "left_semi")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, least: int, times: int = 1) -> DataFrame:
+    """Those of pairs (a, b) that stand there so many times and are similar. sets: fp, n, keys and th of a text of each set."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -186,9 +195,11 @@ def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, l
             ok = [similar(own(x.as_py()), frozenset(shingles(y.as_py(), shingle)), least) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(_likely(pairs, sets, least), "near-pairs")
-    wanted = stored(sets.select("fp", "th").join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp"), "near-wanted")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").count().filter(F.col("count") >= times).select("a", "b")
+    pairs = stored(pairs, "near-counted")
+    wanted = stored(_of(sets, pairs), "near-wanted")
+    pairs = stored(_likely(pairs, wanted, least), "near-pairs")
+    wanted = stored(_of(wanted.select("fp", "th"), pairs), "near-wanted")
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     texts = stored(texts.join(F.broadcast(wanted) if few else wanted, "th").dropDuplicates(["fp"]).select("fp", "text"), "near-texts")
@@ -229,14 +240,16 @@ def links(found: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE,
             if len(large):
                 i = large[label[large] != label[start[large]]]
                 i = i[_possible(n, pos, start[i], i, least)]
-                yield out(fp[start[i]], fp[i], None, None, None)
+                yield out(fp[start[i]], fp[i], np.zeros(len(i), "i8"), None, None)
                 yield out(fp[large], None, key[large], n[large], pos[large])
 
     keys = labelled(sets.select("fp", "n", "keys")).select("fp", "n", "label", F.posexplode("keys").alias("pos", "key"))
     got = stored(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(first, "a long, b long, key long, n int, pos int"), "near-first")
-    found = _checked(got.filter("key IS NULL").select("a", "b"), sets, docs, shingle, least)
+    # Pairs with the first set of a large group need no counting; they have a key, of 0.
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("key").isNull(), 1).otherwise(SHARED)))
+    found = _checked(got.filter("b IS NOT NULL").select("a", "b", times).select("a", "b"), sets, docs, shingle, least, SHARED)
     linked = found if linked is None else linked.unionByName(found)
-    large = got.filter("key IS NOT NULL").select("key", F.col("a").alias("fp"), "n", "pos")
+    large = got.filter("b IS NULL").select("key", F.col("a").alias("fp"), "n", "pos")
     if large.isEmpty():
         return linked
 
