@@ -1,13 +1,22 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels are per document, so tokens are labelled from them first: a word or word beginning that stands in many toxic
-and hardly any clean training documents is evidence, and a token of a toxic document with evidence is labelled toxic.
-A two-state chain (clean, toxic) is fitted to those tokens by maximum likelihood. For a document the forward-backward
-marginals give each token's probability; their largest and their sum go through a logistic curve, fitted on the same
-sample, to the document's score. Tokens over one half are the offending spans (code-point offsets).
-
-The fit takes at most SAMPLE toxic and CLEAN_TIMES * SAMPLE clean labelled documents, chosen by hash of their id; that
-bound is the documented parameter of the classifier. Scoring reads every whole text.
+Labels are per document, so the tags of tokens are latent: a clean document has clean tokens only, a toxic one has a toxic
+token at least, and which it is, the two-state chain (clean, toxic) finds by maximum likelihood of the labels. With Z the
+sum over all tag sequences, where the clean sequence weighs 1, a document is clean with probability 1 / Z; the gradient
+for a token of a toxic document is its marginal given that not all tokens are clean, less its marginal. Emissions have
+features: words and word beginnings that stand in toxic training documents and in hardly any clean ones; which of them
+matter, and how much, the chain learns. Tokens without features share one emission, so runs of them are powers of one
+2 x 2 matrix and whole texts are fitted, of any length.
+
+For a document the forward-backward marginals give each token's probability; their largest and their sum go through a
+logistic curve, fitted on the same sample, to the document's score. Offending spans (code-point offsets) are the tokens
+with evidence of their own that are over one half, and in a document that scores AT_LEAST the most probable of them in
+any case.
+
+The fit takes at most SAMPLE toxic and CLEAN_TIMES * SAMPLE clean labelled documents, chosen by hash of their id, whole, and
+of these as many in that order as have SAMPLE_CHARS characters together; these bounds are the documented parameters of the
+classifier. All of them are fitted, in ROUNDS rounds of gradient ascent at most, whatever their number. Scoring reads
+every whole text.
 
 Defined cases: null and empty texts, and those of white space, have no tokens: their score is that of a document
 without evidence. Labels that repeat a doc_id count as toxic if one does; null labels are left out. Without toxic or
@@ -24,11 +33,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, stored
 
 #: Most toxic documents in the training sample, and the clean ones for each of those.
 SAMPLE, CLEAN_TIMES = 2000, 3
@@ -36,10 +45,10 @@ SAMPLE, CLEAN_TIMES = 2000, 3
 AT_LEAST = 0.3
 BEGINNINGS = (4, 5, 6)
 PUNCTUATION = string.punctuation + "“”„«»…¿¡"
-#: Most token sequences with evidence that the chain is fitted to, and twice those without.
-CHAINS = 600
-#: Most words with evidence that a worker remembers.
-REMEMBERED = 100_000
+#: Most characters of the training sample, toxic and clean each; rounds of gradient ascent; weight of the ridge.
+SAMPLE_CHARS, ROUNDS, RIDGE = 64_000_000, 300, 0.02
+#: Most words with evidence that a worker remembers; tokens after which marginals have settled; marginals that add nothing.
+REMEMBERED, SETTLED, FEW = 100_000, 128, 0.05
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,20 +90,28 @@ class Model:
             back = (c + d * own) / (a + b * own)
         return out
 
-    def score(self, marginals: list[float]) -> float:
+    def quiet(self, n: int) -> tuple[float, float]:
+        """The summary of n tokens without evidence. Their marginals settle from both ends; what is between is alike."""
+        some = self.marginals([0.0] * min(n, 2 * SETTLED))
+        if n > 2 * SETTLED and abs(some[SETTLED - 1] - some[SETTLED]) > 1e-12:  # they have not settled
+            return _summary(self.marginals([0.0] * n))
+        return _summary(some, max(0, n - 2 * SETTLED) * (some[SETTLED] if n > 2 * SETTLED and some[SETTLED] > FEW else 0.0))
+
+    def score(self, summary: tuple[float, float]) -> float:
         if not self.fitted:
             return 0.0
         at, x, y = self.curve
-        most, total = _summary(marginals)
+        most, total = summary
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, at + x * most + y * total))))
 
 
-def _summary(marginals: list[float]) -> tuple[float, float]:
+def _summary(marginals: list[float], more: float = 0.0) -> tuple[float, float]:
+    """Log odds of the largest marginal, and the log of one more than the sum of those over FEW."""
     most = min(max(marginals, default=0.0), 1 - 1e-9)
-    return max(-8.0, math.log(max(most, 1e-9) / (1 - most))), math.log1p(sum(p for p in marginals if p > 0.05))
+    return max(-8.0, math.log(max(most, 1e-9) / (1 - most))), math.log1p(more + sum(p for p in marginals if p > FEW))
 
 
-def fit(docs: Iterable[tuple[str, int]], rounds: int = 60) -> Model:
+def fit(docs: Iterable[tuple[str, int]], rounds: int = ROUNDS) -> Model:
     """The model from (text, toxic) pairs. Documents are kept as arrays of word numbers. In toxic documents a word
     counts once for each pair of neighbours that it stands between, so copies of one document, whose words all share
     a fate, count as one."""
@@ -130,66 +147,146 @@ def fit(docs: Iterable[tuple[str, int]], rounds: int = 60) -> Model:
     return _train(held, chosen, bears, rounds)
 
 
+class Chains:
+    """Documents as the chain sees them: the kinds of their tokens with features, and the runs of others between.
+
+    logz(par, e): log Z of each document for each row of par (bias, first, steps 0-1, 1-0, 1-1; step 0-0 is 0), where e
+    is the evidence of each kind."""
+
+    def __init__(self, held: list, kind_of) -> None:
+        import numpy as np
+
+        docs = []
+        for x, y in held:
+            kinds = kind_of[x]
+            at = np.flatnonzero(kinds >= 0)
+            gaps = np.diff(np.concatenate([[-1], at, [len(x)]])) - 1
+            docs.append((len(at), kinds[at], gaps, y))
+        # Documents without features differ by length alone.
+        plain = Counter((int(g[0]), y) for k, _, g, y in docs if not k)
+        docs = sorted((d for d in docs if d[0]), key=lambda d: -d[0])
+        docs += [(0, np.zeros(0, int), np.array([n]), y) for n, y in plain if n]
+        self.times = np.array([1.0] * (len(docs) - len([1 for n, _ in plain if n])) + [float(c) for (n, _), c in plain.items() if n])
+        self.toxic = np.array([bool(d[3]) for d in docs])
+        self.sizes = np.array([d[0] for d in docs])
+        width = int(self.sizes.max(initial=0))
+        self.kinds, self.gaps = np.full((len(docs), width), -1), np.zeros((len(docs), width + 1), int)
+        for i, (k, kinds, gaps, _) in enumerate(docs):
+            self.kinds[i, :k], self.gaps[i, :k] = kinds, gaps[:-1]
+            self.gaps[i, -1] = gaps[-1]  # the last run stands in the last column
+
+    @staticmethod
+    def power(q, g):
+        """The 2 x 2 matrices q (of each row of parameters) to the powers g, over the larger eigenvalue to that power, and its log."""
+        import numpy as np
+
+        a, b, c, d = q
+        root = np.sqrt((a - d) ** 2 + 4 * b * c)
+        one, two = (a + d + root) / 2, (a + d - root) / 2
+        r = np.power(two / one, g)
+        out = [((a - two) - r * (a - one)) / root, b * (1 - r) / root, c * (1 - r) / root, ((d - two) - r * (d - one)) / root]
+        return out, g * np.log(one)
+
+    def logz(self, par, e, nodes: bool = False):
+        """log Z (rows of par x documents); with nodes also the marginals at tokens with features, for the first row."""
+        import numpy as np
+
+        bias, first, s01, s10, s11 = (par[:, [i]] for i in range(5))
+        up, u01, u10, u11 = np.exp(bias), np.exp(s01), np.exp(s10), np.exp(s11)
+        quiet = (np.ones_like(up), u01 * up, u10, u11 * up)
+        n, width = self.kinds.shape
+        v0, v1, scale = np.ones((len(par), n)), np.exp(first + bias) * np.ones(n), np.zeros((len(par), n))
+        live = np.searchsorted(-self.sizes, -np.arange(width), side="left")
+        ahead = []
+
+        def run(v0, v1, g):
+            (a, b, c, d), log = self.power(quiet, g)
+            return v0 * a + v1 * c, v0 * b + v1 * d, log
+
+        for k in range(width):
+            m = live[k]
+            own, g = np.exp(np.minimum(60.0, e[self.kinds[:m, k]] + bias)), self.gaps[:m, k]
+            x0, x1 = v0[:, :m], v1[:, :m]
+            x0, x1, log = run(x0, x1, np.maximum(g - 1, 0) if not k else g)
+            y0, y1 = x0 + x1 * u10, (x0 * u01 + x1 * u11) * own
+            if not k:  # the very first token
+                y0, y1 = np.where(g > 0, y0, 1.0), np.where(g > 0, y1, np.exp(first) * own)
+                log = np.where(g > 0, log, 0.0)
+            total = y0 + y1
+            v0[:, :m], v1[:, :m] = y0 / total, y1 / total
+            scale[:, :m] += log + np.log(total)
+            ahead.append((v0[0, :m].copy(), v1[0, :m].copy()))
+        last = self.gaps[:, -1] - (self.sizes == 0)  # a document without features begins with a quiet token
+        z0, z1, log = run(v0, v1, last)
+        found = scale + log + np.log(z0 + z1)
+        if not nodes:
+            return found
+        one = [float(x[0, 0]) for x in (up, u01, u10, u11)]
+        (a, b, c, d), _ = self.power([np.array([x[0, 0]]) for x in quiet], self.gaps[:, -1])
+        b0, b1, out = a + b, c + d, np.zeros((n, width))
+        for k in range(width - 1, -1, -1):
+            m = live[k]
+            f0, f1 = ahead[k]
+            out[:m, k] = f1 * b1[:m] / (f0 * b0[:m] + f1 * b1[:m])
+            if k:
+                own = np.exp(np.minimum(60.0, e[self.kinds[:m, k]] + par[0, 0]))
+                w0, w1 = b0[:m] + one[1] * own * b1[:m], one[2] * b0[:m] + one[3] * own * b1[:m]
+                (a, b, c, d), _ = self.power([np.array([x[0, 0]]) for x in quiet], self.gaps[:m, k])
+                w0, w1 = a * w0 + b * w1, c * w0 + d * w1
+                b0[:m], b1[:m] = w0 / (w0 + w1), w1 / (w0 + w1)
+        return found, out
+
+    def likelihood(self, logz):
+        """The log likelihood of the labels, by row of parameters."""
+        import numpy as np
+
+        some = np.maximum(logz, 1e-12)
+        return (np.where(self.toxic, np.log(-np.expm1(-some)), -some) * self.times).sum(axis=1)
+
+
 def _train(held: list, chosen: set[str], bears: dict[int, list[str]], rounds: int) -> Model:
-    """Gradient ascent on the chains' likelihood. Tokens without evidence share one emission, so a document is a run
-    of tokens, few of which have features (bears) of their own."""
-    model = Model(weights=dict.fromkeys(chosen, 1.0), bias=-3.0, first=-2.0, step=((0.5, -0.5), (0.5, -0.5)), fitted=True)
-    chains, quiet = [], []
-    for x, y in held if chosen else []:
-        if len(chains) >= CHAINS and len(quiet) >= CHAINS // 2:
+    """Gradient ascent on the likelihood of the documents' labels; tags are latent."""
+    import numpy as np
+
+    names = sorted(chosen)
+    place = {f: i for i, f in enumerate(names)}
+    sets: dict[tuple, int] = {}
+    kind_of = np.full(1 + max((int(x.max()) for x, _ in held if len(x)), default=0), -1)
+    for word, fs in bears.items():
+        kind_of[word] = sets.setdefault(tuple(sorted(place[f] for f in fs)), len(sets))
+    bearing = np.zeros((len(sets), len(names)))
+    for fs, i in sets.items():
+        bearing[i, list(fs)] = 1
+    chains = Chains(held, kind_of)
+    par, weights = np.array([-4.0, 0.0, 0.0, 0.0, 0.0]), np.ones(len(names))
+    square, before, still, tiny = np.zeros(5 + len(names)), -np.inf, 0, 1e-4
+    for _ in range(rounds if len(chains.toxic) else 0):
+        e = bearing @ weights
+        logz, nodes = chains.logz(np.concatenate([par[None], par + tiny * np.eye(5)]), e, nodes=True)
+        own, z = chains.likelihood(logz), np.maximum(logz[0], 1e-12)
+        factor = np.where(chains.toxic, 1 / np.expm1(np.minimum(z, 700)), -1.0) * chains.times
+        felt = np.bincount(chains.kinds[chains.kinds >= 0], weights=(factor[:, None] * nodes)[chains.kinds >= 0], minlength=len(sets))
+        grad = np.concatenate([(own[1:] - own[0]) / tiny - RIDGE * par, felt @ bearing - RIDGE * weights])
+        square += grad * grad
+        move = 0.5 * grad / np.sqrt(square + 1e-9)
+        par, weights = par + move[:5], weights + move[5:]
+        still = still + 1 if abs(own[0] - before) < 1e-5 * abs(own[0]) else 0
+        before = own[0]
+        if still == 3:
             break
-        fs = [bears.get(i, []) for i in x.tolist()]
-        hits = [i for i, f in enumerate(fs) if f]
-        if hits and y and len(chains) < CHAINS:  # the tokens about the evidence say all that the rest of the chain would
-            lo, hi = max(0, hits[0] - 20), hits[-1] + 21
-            chains.append((fs[lo:hi], [1 if f else 0 for f in fs[lo:hi]]))
-        elif not y and fs and len(quiet) < CHAINS // 2:
-            quiet.append((fs[:80], [0] * len(fs[:80])))
-    chains += quiet
-    square: Counter = Counter()
-    for _ in range(rounds if len(chains) < 200 else max(6, rounds * 120 // len(chains))):
-        grads: Counter = Counter()
-        for fs, gold in chains:
-            es = [sum(model.weights[f] for f in x) for x in fs]
-            node, pair = _expected(model, es)
-            for i, (x, y) in enumerate(zip(fs, gold, strict=True)):
-                d = y - node[i]
-                grads["bias"] += d
-                for f in x:
-                    grads["w", f] += d
-                if not i:
-                    grads["first"] += d
-            for a, b in zip(gold, gold[1:], strict=False):
-                grads["step", a, b] += 1
-            for a in (0, 1):
-                for b in (0, 1):
-                    grads["step", a, b] -= pair[a][b]
-        for k, g in grads.items():
-            g -= 0.05 * (model.weights[k[1]] if k[0] == "w" else 0)
-            square[k] += g * g
-            move = 0.5 * g / math.sqrt(square[k] + 1e-9)
-            if k == "bias":
-                model.bias += move
-            elif k == "first":
-                model.first += move
-            elif k[0] == "w":
-                model.weights[k[1]] += move
-            else:
-                step = [list(r) for r in model.step]
-                step[k[1]][k[2]] += move
-                model.step = tuple(map(tuple, step))
+    bias, first, s01, s10, s11 = map(float, par)
+    model = Model(dict(zip(names, map(float, weights), strict=True)), bias, first, ((0.0, s01), (s10, s11)), fitted=True)
     of = {i: sum(model.weights[f] for f in fs) for i, fs in bears.items()}
-    none = [0.0] * 200
     xs = []
     for x, y in held:
         es = [of.get(i, 0.0) for i in x.tolist()]
-        xs.append((*_summary(model.marginals(es if any(es) else none[: len(es)])), y))
+        xs.append((*(_summary(model.marginals(es)) if any(es) else model.quiet(len(es))), y))
     model.curve = _logistic(xs)
     return model
 
 
 def _expected(model: Model, evidence: list[float]) -> tuple[list[float], list[list[float]]]:
-    """Node marginals, and expected counts of steps between states."""
+    """Node marginals, and expected counts of steps between states, token by token: the plain form of Chains."""
     (a, b), (c, d) = [[math.exp(x) for x in row] for row in model.step]
     own = [math.exp(min(60.0, e + model.bias)) for e in evidence]
     ratio, ahead = 0.0, []
@@ -239,6 +336,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     here = here.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(here.filter("toxic = 0").orderBy(*order).limit(CLEAN_TIMES * sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(here), "doc_id").filter("text IS NOT NULL")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = stored(rows, "toxic-sample")
+    # Of these at most (1 + CLEAN_TIMES) * sample rows, those that fit into the characters that are allowed.
+    fits = Window.partitionBy("toxic").orderBy(*order)
+    fits = rows.select("doc_id", "toxic", F.length("text").cast("long").alias("n")).withColumn("sum", F.sum("n").over(fits)).filter(F.col("sum") <= SAMPLE_CHARS)
+    rows = rows.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi")
     return fit((r.text, r.toxic) for r in rows.orderBy("doc_id").select("text", "toxic").toLocalIterator())
 
 
@@ -294,14 +396,19 @@ class Scorer:
         if not any(evidence):
             return self._quiet(low), []
         marginals = self.model.marginals(evidence)
-        where = [i for i, p in enumerate(marginals) if p >= 0.5]
-        return self.model.score(marginals), _spans(text, where, marginals) if where else []
+        own = [i for i, e in enumerate(evidence) if e > 0]
+        score, where = self.model.score(_summary(marginals)), [i for i in own if marginals[i] >= 0.5]
+        if own and not where and score >= AT_LEAST:
+            where = [max(own, key=marginals.__getitem__)]
+        return score, _spans(text, where, marginals) if where else []
 
     def _quiet(self, low: str) -> float:
-        """Without evidence the marginals depend on the number of words alone, and settle long before 200."""
-        n = min(200, len(low.split(None, 200)))
+        """Without evidence the marginals depend on the number of words alone."""
+        n = len(low.split())
         if n not in self.quiet:
-            self.quiet[n] = self.model.score(self.model.marginals([0.0] * n))
+            if len(self.quiet) > REMEMBERED:
+                self.quiet.clear()
+            self.quiet[n] = self.model.score(self.model.quiet(n))
         return self.quiet[n]
 
 

@@ -76,3 +76,59 @@ def test_cases(spark):
     assert tox.cleaned(docs, labels.limit(0)).count() == len(data)
     assert tox.cleaned(docs.limit(0), labels).count() == 0
     assert tox.Scorer(tox.Model())("anything") == (0.0, [])
+
+
+def test_runs_of_quiet_tokens_against_all_label_sequences():
+    """Chains sums over runs by powers of a matrix; here over each sequence of tags by itself."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    par, e = np.array([-1.1, 0.3, -0.7, 0.4, 0.2]), np.array([2.0, -0.5])
+    docs = [[0, 0, 2, 0, 1], [1], [0], [0, 0, 0, 0], [2, 1, 0, 0, 0, 2, 2], [1, 0]]  # 0: quiet, else a kind and one
+    chains = tox.Chains([(np.array(d), i % 2) for i, d in enumerate(docs)], np.array([-1, 0, 1]))
+    logz, nodes = chains.logz(np.stack([par, par + 0.1]), e, nodes=True)
+    seen = {}
+    for i in range(len(chains.sizes)):
+        seen[int(chains.sizes[i]), tuple(chains.kinds[i]), tuple(chains.gaps[i])] = i
+    for y, d in enumerate(docs):
+        kinds = [k - 1 for k in d]
+        at = [i for i, k in enumerate(kinds) if k >= 0]
+        weigh = lambda ys, p: p[1] * ys[0] + sum((p[0] + (e[k] if k >= 0 else 0)) * t for t, k in zip(ys, kinds, strict=True)) + sum((0, p[2], p[3], p[4])[2 * a + b] for a, b in zip(ys, ys[1:], strict=False))
+        all_ = list(itertools.product((0, 1), repeat=len(d)))
+        mine = next(i for i in range(len(docs)) if chains.toxic[i] == y % 2 and chains.sizes[i] == len(at) and [k for k in chains.kinds[i] if k >= 0] == [kinds[j] for j in at] and chains.gaps[i].sum() == len(d) - len(at))
+        for row, p in enumerate((par, par + 0.1)):
+            z = sum(math.exp(weigh(ys, p)) for ys in all_)
+            assert logz[row, mine] == pytest.approx(math.log(z), abs=1e-9)
+        z = sum(math.exp(weigh(ys, par)) for ys in all_)
+        for k, j in enumerate(at):
+            assert nodes[mine, k] == pytest.approx(sum(math.exp(weigh(ys, par)) for ys in all_ if ys[j]) / z, abs=1e-9)
+
+
+def test_quiet_texts_by_length():
+    model = tox.Model(weights={"x": 1.0}, bias=-3.0, first=0.2, step=((0.0, -1.0), (-0.5, 0.3)), curve=(0.1, 0.5, 0.7), fitted=True)
+    for n in (0, 1, 5, 200, 256, 257, 3000):
+        assert model.quiet(n) == pytest.approx(tox._summary(model.marginals([0.0] * n)), abs=1e-9)
+    slow = tox.Model(bias=0.0, step=((0.0, -9.0), (-9.0, 0.0)), first=-3.0, fitted=True)  # settles late
+    assert slow.quiet(2000) == pytest.approx(tox._summary(slow.marginals([0.0] * 2000)), abs=1e-9)
+
+
+def test_planted_offsets_and_single_words():
+    """Of the planted words nine in ten are found where they stand, and so is the strongest word alone in a long text."""
+    rows = corpus(1200, seed=8)
+    model = tox.fit([(t, y) for i, t, y in rows if i % 4])
+    scorer, planted, hit, extra = tox.Scorer(model), 0, 0, 0
+    for i, text, y in rows:
+        if i % 4 == 0:
+            spans, at = {(s["start"], s["end"]) for s in scorer(text)[1]}, 0
+            for w in text.split():
+                at, bare = text.index(w, at), w.strip(tox.PUNCTUATION)
+                bad = bare.lower().startswith(("grobble", "snirk", "zorkl"))
+                planted, hit, extra = planted + bad, hit + (bad and (at, at + len(bare)) in spans), extra + (not bad and (at, at + len(bare)) in spans)
+                at += len(w)
+    assert planted > 100 and hit >= 0.9 * planted and extra <= 0.05 * planted
+    best = max(("grobble", "snirk"), key=lambda w: model.evidence(w))
+    text = "aeio utn " * 2000 + best + " shr" * 3000
+    score, spans = scorer(text)
+    assert score >= tox.AT_LEAST and [text[s["start"] : s["end"]] for s in spans] == [best]
