@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 #: ASCII white space; marks that may close a piece, none of which begins a special string.
 WHITE, CLOSING = b"\t\n\x0b\x0c\r ", "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 #: Longest piece that is remembered, in bytes; characters of a run of texts.
-LONG, RUN = 64, 1 << 23
+LONG, RUN = 64, 1 << 22
 
 
 class Memory:

@@ -162,10 +162,10 @@ def components(pairs: DataFrame) -> DataFrame:
 
     def kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
         seen = Observation()
-        out = stored(edges.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "cc")
+        out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "cc")
         return out, (seen.get["n"], seen.get["x"])
 
-    edges, state = kept(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    edges, state = kept(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while state[0]:
         often = max(200, state[0] // 20_000)  # at most 20,000 nodes have more rows, of two longs each
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -173,7 +173,7 @@ def components(pairs: DataFrame) -> DataFrame:
         large = stored(_minima(both.filter("v > u"), low, often).select(F.col("v").alias("u"), F.col("m").alias("v")), "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _minima(large, low, often).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        before, (edges, state) = state, kept(small)
+        before, (edges, state) = state, kept(small.distinct())
         if state == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -32,7 +32,7 @@ from .common import remembered, shared_path, ship, stored, written
 from .pieces import Letters, Pieces, binary, gathered, runs, words
 
 #: Bits of a chunk; ids of a shard; pieces in a generation of a worker's memory; bits of a directory block.
-CHUNK, SHARD, REMEMBERED, BLOCK = 8, 1 << 15, 500_000, 512
+CHUNK, SHARD, REMEMBERED, BLOCK = 8, 1 << 15, 300_000, 512
 
 
 def pack(ids) -> list[tuple[bytes, bytes, bytes]]:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, stored
+from .common import free, ship, stored
 
 #: Most toxic documents in the training sample, and the clean ones for each of those.
 SAMPLE, CLEAN_TIMES = 2000, 3
@@ -46,7 +46,7 @@ AT_LEAST = 0.3
 BEGINNINGS = (4, 5, 6)
 PUNCTUATION = string.punctuation + "“”„«»…¿¡"
 #: Most characters of the training sample, toxic and clean each; rounds of gradient ascent; weight of the ridge.
-SAMPLE_CHARS, ROUNDS, RIDGE = 64_000_000, 300, 0.02
+SAMPLE_CHARS, ROUNDS, RIDGE = 64_000_000, 100, 0.02
 #: Most words with evidence that a worker remembers; tokens after which marginals have settled; marginals that add nothing.
 REMEMBERED, SETTLED, FEW = 100_000, 128, 0.05
 
@@ -270,7 +270,7 @@ def _train(held: list, chosen: set[str], bears: dict[int, list[str]], rounds: in
         square += grad * grad
         move = 0.5 * grad / np.sqrt(square + 1e-9)
         par, weights = par + move[:5], weights + move[5:]
-        still = still + 1 if abs(own[0] - before) < 1e-5 * abs(own[0]) else 0
+        still = still + 1 if abs(own[0] - before) < 1e-4 * abs(own[0]) else 0
         before = own[0]
         if still == 3:
             break
@@ -341,7 +341,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     fits = Window.partitionBy("toxic").orderBy(*order)
     fits = rows.select("doc_id", "toxic", F.length("text").cast("long").alias("n")).withColumn("sum", F.sum("n").over(fits)).filter(F.col("sum") <= SAMPLE_CHARS)
     rows = rows.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi")
-    return fit((r.text, r.toxic) for r in rows.orderBy("doc_id").select("text", "toxic").toLocalIterator())
+    model = fit((r.text, r.toxic) for r in rows.orderBy("doc_id").select("text", "toxic").toLocalIterator())
+    free()
+    return model
 
 
 RESULT = T.StructType(

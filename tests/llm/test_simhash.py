@@ -61,3 +61,21 @@ def test_cases(spark):
     empty = docs.limit(0)
     assert simhash.near_deduped(empty).count() == 0
     assert simhash.fingerprint(long.encode()) & (2**64 - 1) == brute_fingerprint(long)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(7, x) for x in range(500, 900)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {(r.node, r.root) for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(x, find(x)) for x in root if find(x) != x}
