@@ -8,7 +8,8 @@ first n - ceil(t n) + SHARED shingles of each in any common order. The order put
 the documents last, so a common passage gives few candidates; it decides on the work only, never on the result. Sets are
 equal by a 64-bit hash. Shingles with up to PAIRS sets give every pair that sizes and positions allow and that isn't joined yet; those given by SHARED of them are checked.
 A larger group gives pairs with one set of it, and then, in slices that are tasks of their own, each pair that these links
-haven't joined, so a pair that shares such a shingle need not be counted.
+haven't joined, so a pair that shares such a shingle need not be counted. There ODD bits of each set rule out most of those
+that aren't similar before they are written down.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SHINGLE, LEAST = 5, 80
 SEED = 42
 #: Most sets that share a shingle and are all paired at once; most of a slice of those beyond.
 PAIRS, SLICE = 64, 4096
+#: Bits in which two sets can't differ more often than in shingles.
+ODD = 1024
 #: Shingles of the prefixes that two sets must share; sets that differ and are 80 percent similar share four at least.
 SHARED = 3
 #: About the documents in the sample for the order, and the most shingles that it puts last.
@@ -86,8 +89,9 @@ def _often(docs: DataFrame, shingle: int) -> list:
 
 
 def shingled(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """doc_id, th (hash of the text), fp (hash of the set of shingles), n (its size), keys (its prefix) and sim (the
-    SimHash of the shingles, repeats included) for each row of docs (doc_id, text)."""
+    """doc_id, th (hash of the text), fp (hash of the set of shingles), n (its size), keys (its prefix), sim (the
+    SimHash of the shingles, repeats included) and odd (ODD bits: whether an odd number of its shingles falls there) for
+    each row of docs (doc_id, text)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(sorted((h & (2**64 - 1), n) for h, n in _often(docs, shingle)))
 
@@ -99,11 +103,12 @@ def shingled(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Dat
         often = np.array([h for h, _ in sent.value] + [2**64 - 1], "u8")
         times = np.array([n for _, n in sent.value] + [0], "i8")
         for batch in batches:
-            fps, sizes, keys, sims = [], [], [], []
+            fps, sizes, keys, sims, odds = [], [], [], [], []
             for t in batch.column("text").to_pylist():
                 hs = _hashes(t, shingle)
                 sims.append(simhash(hs))
                 hs = np.unique(hs)
+                odds.append(np.packbits(np.bincount((hs % ODD).astype(int), minlength=ODD) & 1).tobytes())
                 at = np.searchsorted(often, hs)
                 late = np.where(often[at] == hs, times[at], 0)
                 first = len(hs) - -(-least * len(hs) // 100) + SHARED
@@ -111,10 +116,10 @@ def shingled(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Dat
                 sizes.append(len(hs))
                 keys.append(hs[np.lexsort((hs, late))[:first]].view("i8"))
             fps = pa.array(np.array(fps, "u8").view("i8"))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), fps, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sims, pa.int64())], names=["doc_id", "th", "fp", "n", "keys", "sim"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), fps, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sims, pa.int64()), pa.array(odds, pa.binary())], names=["doc_id", "th", "fp", "n", "keys", "sim", "odd"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, n int, keys array<long>, sim long")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, n int, keys array<long>, sim long, odd binary")
 
 
 def _whole(batches: Iterator, names: tuple) -> Iterator:
@@ -156,8 +161,8 @@ def _possible(n, pos, i, j, least: int):
     return (100 * np.minimum(a, b) >= least * np.maximum(a, b)) & ((100 + least) * most >= least * (a + b))
 
 
-def _paired(key, fp, n, pos, least: int, label, task=None) -> Iterator:
-    """Every possible pair of rows that share a key (and a task) and differ in label."""
+def _paired(key, fp, n, pos, least: int, label, task=None, odd=None) -> Iterator:
+    """Every possible pair of rows that share a key (and a task) and differ in label; odd: the bits, in rows of words."""
     import numpy as np
 
     for d in range(1, len(key)):
@@ -165,8 +170,11 @@ def _paired(key, fp, n, pos, least: int, label, task=None) -> Iterator:
         if not len(i):
             return
         i = i[label[i] != label[i + d]]
-        ok = _possible(n, pos, i, i + d, least)
-        yield fp[i[ok]], fp[i[ok] + d]
+        i = i[_possible(n, pos, i, i + d, least)]
+        if odd is not None:  # similar sets have at most (100 - least) / (100 + least) of their sizes' sum in one of them alone
+            apart = np.bitwise_count(odd[i] ^ odd[i + d]).sum(axis=1, dtype=np.int64)
+            i = i[(100 + least) * apart <= (100 - least) * (n[i].astype(np.int64) + n[i + d])]
+        yield fp[i], fp[i + d]
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -211,7 +219,7 @@ def links(found: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE,
     """a, b: links that join all sets of found (see shingled) that are similar, directly or in steps.
 
     components(pairs): node and root of those joined; close(sims): pairs of the distinct fingerprints sim that are close."""
-    sets = stored(found.select("fp", "th", "n", "keys", "sim").dropDuplicates(["fp"]), "near-sets")
+    sets = stored(found.select("fp", "th", "n", "keys", "sim", "odd").dropDuplicates(["fp"]), "near-sets")
     linked = None
     if close is not None:
         heads = stored(sets.groupBy("sim").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")), "near-sims")
@@ -257,16 +265,17 @@ def links(found: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE,
         import numpy as np
         import pyarrow as pa
 
-        for task, key, fp, n, pos, label in _whole(batches, ("task", "key", "fp", "n", "pos", "label")):
-            for a, b in _paired(key, fp, n, pos, least, label, task):
+        for task, key, fp, n, pos, label, odd in _whole(batches, ("task", "key", "fp", "n", "pos", "label", "odd")):
+            bits = np.frombuffer(b"".join(odd.tolist()), np.uint64).reshape(-1, ODD // 64)
+            for a, b in _paired(key, fp, n, pos, least, label, task, bits):
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     # Only keys whose sets are still apart have anything left to pair.
-    rows = stored(labelled(large), "near-rest")
+    rows = stored(labelled(large).join(sets.select("fp", "odd"), "fp"), "near-rest")
     open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     rows = rows.join(open_.select("key", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "key")
     own = F.pmod(F.xxhash64("fp", "key"), F.col("slices")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    rows = rows.withColumn("task", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select("task", "key", "fp", "n", "pos", "label")
+    rows = rows.withColumn("task", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select("task", "key", "fp", "n", "pos", "label", "odd")
     pairs = rows.repartition("task").sortWithinPartitions("task", "key", "fp").mapInArrow(rest, "a long, b long")
     return linked.unionByName(_checked(pairs, sets, docs, shingle, least))

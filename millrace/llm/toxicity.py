@@ -33,7 +33,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -337,15 +337,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(here), "doc_id").filter("text IS NOT NULL")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     rows = stored(rows, "toxic-sample")
-    # Of these at most (1 + CLEAN_TIMES) * sample rows, those that fit into the characters that are allowed.
-    fits = Window.partitionBy("toxic").orderBy(*order)
-    fits = rows.select("doc_id", "toxic", F.length("text").cast("long").alias("n")).withColumn("sum", F.sum("n").over(fits)).filter(F.col("sum") <= SAMPLE_CHARS)
-    rows = rows.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi")
-    model = fit((r.text, r.toxic) for r in rows.orderBy("doc_id").select("text", "toxic").toLocalIterator())
+    model = fit(_within(rows.orderBy("toxic", *order).select("text", "toxic").toLocalIterator()))
     free()
     return model
 
 
+def _within(rows: Iterable) -> Iterator[tuple[str, int]]:
+    """As many of the rows, in order, as have SAMPLE_CHARS characters, for each label."""
+    held: Counter = Counter()
+    for r in rows:
+        held[r.toxic] += len(r.text)
+        if held[r.toxic] <= SAMPLE_CHARS:
+            yield r.text, r.toxic
+
+
 RESULT = T.StructType(
     [
         T.StructField("score", T.DoubleType()),
