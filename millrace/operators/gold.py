@@ -25,8 +25,8 @@ def dim_date(sales: DataFrame) -> DataFrame:
 
 
 def dim_product(sales: DataFrame) -> DataFrame:
-    """The latest description of each stock code, by time and then hash; one pass, aggregated before the shuffle."""
-    latest = sales.groupBy("stock_code").agg(F.max(F.struct("invoice_timestamp", "row_hash", "description")).alias("last"))
+    """The latest description of each stock code, by time, then load, then hash; one pass, aggregated before the shuffle."""
+    latest = sales.groupBy("stock_code").agg(F.max(F.struct("invoice_timestamp", "silver_loaded_at", "row_hash", "description")).alias("last"))
     return latest.select(F.md5("stock_code").alias("product_key"), "stock_code", F.col("last.description").alias("product_name"))
 
 

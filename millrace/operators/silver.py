@@ -82,12 +82,16 @@ def classified(staged: DataFrame) -> DataFrame:
 
 
 def transactions(rows: DataFrame) -> DataFrame:
-    return rows.filter("reject_reason IS NULL AND duplicate_rank = 1").select(*TRANSACTION)
+    return rows.filter("reject_reason IS NULL AND duplicate_rank = 1").withColumn("silver_loaded_at", F.current_timestamp()).select(*TRANSACTION)
+
+
+def _aside(rows: DataFrame, reason: str, time: str) -> DataFrame:
+    return rows.withColumn(time, F.current_timestamp()).select(*[c.format(reason=reason, time=time) for c in SET_ASIDE])
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
-    return rows.filter("reject_reason IS NULL AND duplicate_rank > 1").select(*[c.format(reason="duplicate_rank") for c in SET_ASIDE])
+    return _aside(rows.filter("reject_reason IS NULL AND duplicate_rank > 1"), "duplicate_rank", "duplicate_detected_at")
 
 
 def rejects(rows: DataFrame) -> DataFrame:
-    return rows.filter("reject_reason IS NOT NULL").select(*[c.format(reason="reject_reason") for c in SET_ASIDE])
+    return _aside(rows.filter("reject_reason IS NOT NULL"), "reject_reason", "rejected_at")

@@ -37,7 +37,7 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plain(rows: DataFrame) -> DataFrame:
     """rows without what depends on the run."""
-    late = [c for c in rows.columns if c.lstrip("_") in ("source_file", "converted_at", "bronze_loaded_at", "temp_loaded_at")]
+    late = [c for c in rows.columns if c.lstrip("_") in ("source_file", "converted_at", "bronze_loaded_at", "temp_loaded_at", "silver_loaded_at")]
     return rows.drop(*late)
 
 
@@ -53,7 +53,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share; one of this machine serves a local master alone."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/millrace-lake"
 
 
@@ -73,13 +76,36 @@ def invalid_date_quarantine(spark, sf_dir):
     return landing.split(lines)[1].select("InvoiceNo", "StockCode", "InvoiceDate")
 
 
+def _whole_run(spark, sf_dir) -> DataFrame:
+    """Bronze of a run over all dates that there are."""
+    lines = _dated(spark, sf_dir)
+    found = landing.date_range(lines).first()
+    return silver.bronze(landing.in_range(lines, found.min_date, found.max_date), found.min_date, found.max_date)
+
+
 def bronze_projection(spark, sf_dir):
-    rows = silver.bronze(landing.in_range(_dated(spark, sf_dir), START, END), START, END)
-    return _plain(rows).drop("_invoice_timestamp", "_batch_date")
+    return _plain(_whole_run(spark, sf_dir)).drop("_invoice_timestamp", "_batch_date")
 
 
 def staging_projection(spark, sf_dir):
-    return _plain(silver.staging(silver.bronze(landing.in_range(_dated(spark, sf_dir), START, END), START, END)))
+    return _plain(silver.staging(_whole_run(spark, sf_dir)))
+
+
+def staging_reconciled(spark, sf_dir):
+    """Bronze, written as a table by date, against staging of what is read back: by date, totals and multisets of hashes."""
+    path, rows = _new_path(spark, "bronze"), _whole_run(spark, sf_dir)
+    lake.replace_dates(rows, path, "invoice_date", [])
+    staged = silver.staging(lake.read(spark, path)).select("batch_date", "row_hash")
+    source = rows.select(F.col("_batch_date").alias("batch_date"), F.col("_row_hash").alias("row_hash"))
+    per = quality.counts_by(source, staged, ["batch_date", "row_hash"])
+    return per.groupBy("batch_date").agg(F.sum("source_count").alias("source_count"), F.sum("target_count").alias("target_count"), F.count_if(F.col("difference") != 0).alias("differing_hashes"))
+
+
+def dim_product_two_loads(spark, sf_dir):
+    """Every transaction loaded a second time with an edited description: at equal times the later load wins."""
+    sales = _sales(spark, sf_dir)
+    later = sales.withColumns({"description": F.concat("description", F.lit(" v2")), "silver_loaded_at": F.col("silver_loaded_at") + F.expr("INTERVAL 1 HOUR"), "row_hash": F.lit("0")})
+    return gold.dim_product(sales.unionByName(later))
 
 
 def classified_counts(spark, sf_dir):
@@ -122,7 +148,8 @@ def _silver_target(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def dq_relationships(spark, sf_dir):
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return quality.orphans(read("customer"), "c_custkey", read("orders"), "o_custkey")
+    # Every 97th customer is left out, so that the orders of these are orphans.
+    return quality.orphans(read("orders"), "o_custkey", read("customer").filter("c_custkey % 97 <> 0"), "c_custkey")
 
 
 def cdc_initial_load(spark, sf_dir):
@@ -193,6 +220,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dim_date": lambda s, d: gold.dim_date(_sales(s, d)),
     "dim_product": lambda s, d: gold.dim_product(_sales(s, d)),
     "dim_country": lambda s, d: gold.dim_country(_sales(s, d)),
+    "dim_product_two_loads": dim_product_two_loads,
+    "staging_reconciled": staging_reconciled,
     "dim_country_orphan_delete": dim_country_orphan_delete,
     "dim_date_upsert": dim_date_upsert,
     "fact_sales": lambda s, d: star(s, d)["fact_sales"].drop("source_file"),

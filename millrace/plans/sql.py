@@ -73,6 +73,14 @@ events AS (
     p.row_hash AS before_hash, c.row_hash AS after_hash, p.day AS before_date, c.day AS after_date
   FROM prev p FULL JOIN cur c ON p.record_key = c.record_key WHERE p.row_hash IS DISTINCT FROM c.row_hash),
 affected AS (SELECT DISTINCT d AS affected_date FROM (SELECT before_date AS d FROM events UNION ALL SELECT after_date FROM events) WHERE d IS NOT NULL)"""
+
+
+def _payload(side: str) -> str:
+    """The line's columns that aren't null, as JSON."""
+    parts = ", ".join(f"'\"{c}\":' || CAST(to_json({side}.{c}) AS VARCHAR)" for c in _B)
+    return f"'{{' || concat_ws(',', {parts}) || '}}'"
+
+
 _RANGE = "BETWEEN DATE '1995-06-01' AND DATE '1996-05-31'"
 _RAW = "invoice_no_raw, stock_code_raw, description_raw, quantity_raw, invoice_date_raw, unit_price_raw, customer_id_raw, country_raw"
 _DATES = """SELECT DISTINCT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_key, day AS full_date, CAST(extract(day FROM day) AS SMALLINT) AS day_of_month,
@@ -102,8 +110,8 @@ ORACLES = {
       count(*) FILTER (WHERE TRY_CAST(Quantity AS DOUBLE) < 0) AS negative_quantity FROM lines""",
     "row_hashes": f"WITH {HASHED} SELECT row_hash, day AS batch_date, count(*) AS rows FROM hashed GROUP BY ALL",
     "record_keys": f"WITH {DATED}, {_keyed('k', 'SELECT * FROM dated')} SELECT row_hash AS _row_hash, identity_hash AS _identity_hash, record_key AS _record_key FROM k",
-    "bronze_projection": f"WITH {HASHED} SELECT {', '.join(_B)}, row_hash AS _row_hash, day AS _process_date, DATE '1995-06-01' AS _run_start_date, DATE '1996-05-31' AS _run_end_date, 'online_retail' AS _pipeline_name, day AS invoice_date FROM hashed WHERE day {_RANGE}",
-    "staging_projection": f"WITH {TYPED} SELECT {_RAW}, ts AS invoice_timestamp, day AS batch_date, row_hash, day AS process_date, 'online_retail' AS pipeline_name, DATE '1995-06-01' AS run_start_date, DATE '1996-05-31' AS run_end_date FROM typed WHERE day {_RANGE}",
+    "bronze_projection": f"WITH {HASHED} SELECT {', '.join(_B)}, row_hash AS _row_hash, day AS _process_date, min(day) OVER () AS _run_start_date, max(day) OVER () AS _run_end_date, 'online_retail' AS _pipeline_name, day AS invoice_date FROM hashed WHERE day IS NOT NULL",
+    "staging_projection": f"WITH {TYPED} SELECT {_RAW}, ts AS invoice_timestamp, day AS batch_date, row_hash, day AS process_date, 'online_retail' AS pipeline_name, min(day) OVER () AS run_start_date, max(day) OVER () AS run_end_date FROM typed WHERE day IS NOT NULL",
     "typed_rows": f"WITH {TYPED} SELECT row_hash, invoice_no, stock_code, description, quantity, unit_price, customer_id, country FROM typed",
     "quality_rules": f"WITH {CLASSIFIED} SELECT row_hash, reject_reason FROM classified WHERE reject_reason IS NOT NULL",
     "reject_reason_counts": f"WITH {CLASSIFIED} SELECT reject_reason, count(*) AS rows FROM classified GROUP BY reject_reason",
@@ -114,6 +122,8 @@ ORACLES = {
     "silver_duplicates": f"WITH {CLASSIFIED} SELECT row_hash, {_RAW}, day AS batch_date, duplicate_rank FROM classified WHERE reject_reason IS NULL AND duplicate_rank > 1",
     "silver_rejects": f"WITH {CLASSIFIED} SELECT row_hash, {_RAW}, day AS batch_date, reject_reason FROM classified WHERE reject_reason IS NOT NULL",
     "dim_date": f"WITH {SALES} {_DATES} sales",
+    "dim_product_two_loads": f"WITH {STAR} SELECT product_key, stock_code, arg_max(description || ' v2', struct_pack(a := ts, b := '0', c := description)) AS product_name FROM (SELECT md5(stock_code) AS product_key, * FROM sales) GROUP BY ALL",
+    "staging_reconciled": f"WITH {HASHED} SELECT day AS batch_date, count(*) AS source_count, count(*) AS target_count, CAST(0 AS BIGINT) AS differing_hashes FROM hashed WHERE day IS NOT NULL GROUP BY day",
     "dim_product": f"WITH {STAR} SELECT * FROM products",
     "dim_country": f"WITH {SALES} SELECT DISTINCT md5(country) AS country_key, country AS country_name FROM sales",
     "dim_country_orphan_delete": f"WITH {SALES} SELECT DISTINCT md5(country) AS country_key, country AS country_name FROM sales WHERE transaction_type = 'RETURN' AND quantity < -49",
@@ -134,8 +144,10 @@ ORACLES = {
     "dq_star_tests": f"WITH {STAR} " + " UNION ALL ".join(_TESTS),
     "dq_unique": f"WITH {HASHED} SELECT row_hash AS value, count(*) AS rows FROM hashed GROUP BY row_hash HAVING count(*) > 1",
     "dq_not_null": f"WITH {TYPED} SELECT row_hash FROM typed WHERE customer_id IS NULL",
-    "dq_relationships": "SELECT DISTINCT c_custkey AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "dq_relationships": "SELECT o_custkey AS value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 97 <> 0)",
     "cdc_events": f"WITH {EVENTS} SELECT * FROM events",
+    "cdc_payload_json": f"""WITH {EVENTS} SELECT e.record_key, operation, {_payload("p")} AS before_payload, {_payload("c")} AS after_payload
+      FROM events e LEFT JOIN prev p ON e.record_key = p.record_key LEFT JOIN cur c ON e.record_key = c.record_key""",
     "cdc_change_counts": f"WITH {EVENTS} SELECT operation, count(*) AS changes FROM events GROUP BY operation",
     "cdc_affected_dates": f"WITH {EVENTS} SELECT affected_date FROM affected",
     "cdc_initial_load": f"WITH {EVENTS} SELECT record_key, 'INSERT' AS operation, row_hash AS after_hash, day AS after_date FROM cur",

@@ -26,13 +26,41 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def _before(path: str) -> str:
+    """Where what stands at path is kept while another takes its place; Spark's readers pass over such names."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/.{name}.before"
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
-    """Moves old to new, in place of what is there."""
+    """Moves the folder old to new, in place of what is there. That is kept under a known name until the move is done,
+    so whatever ends the program in between, recover() puts it back."""
     place, fs = _at(spark, old)
-    delete(spark, new)
-    fs.mkdirs(_at(spark, new)[0].getParent())
-    if not fs.rename(place, _at(spark, new)[0]):
+    target, kept = _at(spark, new)[0], _at(spark, _before(new))[0]
+    recover(spark, new)
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) and not fs.rename(target, kept):
+        raise OSError(f"can't move {new} aside")
+    if not fs.rename(place, target):
+        recover(spark, new)
         raise OSError(f"can't move {old} to {new}")
+    fs.delete(kept, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends what an interrupted replacement of path, or of a date of the table there, has left: where the new rows
+    are in place the old ones go, where they aren't the old ones return."""
+    place, fs = _at(spark, path)
+    found = [path] if fs.exists(_at(spark, _before(path))[0]) else []
+    if fs.exists(place):
+        names = [s.getPath().getName() for s in fs.listStatus(place)]
+        found += [f"{path.rstrip('/')}/{n.removeprefix('.').removesuffix('.before')}" for n in names if n.startswith(".") and n.endswith(".before")]
+    for one in found:
+        kept, target = _at(spark, _before(one))[0], _at(spark, one)[0]
+        if fs.exists(target):
+            fs.delete(kept, True)
+        elif not fs.rename(kept, target):
+            raise OSError(f"can't restore {one}")
 
 
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -59,9 +87,10 @@ def replace_dates(rows: DataFrame, path: str, column: str, dates: Iterable[date]
     fs.mkdirs(place)
     made = {s.getPath().getName() for s in fs.listStatus(_at(spark, aside)[0])}
     for name in sorted({f"{column}={d}" for d in dates} | {m for m in made if m.startswith(f"{column}=")}):
-        delete(spark, f"{path}/{name}")
         if name in made:
             rename(spark, f"{aside}/{name}", f"{path}/{name}")
+        else:
+            delete(spark, f"{path}/{name}")
     delete(spark, aside)
 
 
@@ -93,13 +122,17 @@ def without_orphans(dimension: DataFrame, column: str, source: DataFrame, source
 
 
 def write_manifest(spark: SparkSession, path: str, content: dict) -> None:
-    """Writes JSON at once: readers find the old file or the new one."""
+    """Writes JSON at once: readers find the old file or the new one, which takes its place in one step."""
     aside = f"{path}.{uuid.uuid4().hex}"
     place, fs = _at(spark, aside)
     out = fs.create(place, True)
     out.write(bytearray(json.dumps(content, indent=2, default=str).encode()))
     out.close()
-    rename(spark, aside, path)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    option = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri() if place.isAbsolute() and place.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(place), fs.makeQualified(_at(spark, path)[0]), option)
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:

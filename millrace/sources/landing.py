@@ -12,14 +12,20 @@ from ..functions import parsing
 from ..schemas import ALIASES, BUSINESS
 
 
-def discover(folder: str) -> str:
-    """The one CSV file in folder, whatever the case of its ending."""
-    found = sorted(p for p in Path(folder).iterdir() if p.is_file() and p.suffix.lower() == ".csv")
+def discover(folder: str, spark: SparkSession | None = None) -> str:
+    """The one CSV file in folder, whatever the case of its ending; with a session, in any store that Spark reaches."""
+    if spark is None:
+        names = [str(p) for p in Path(folder).iterdir() if p.is_file()]
+    else:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().toString() for f in fs.listStatus(place) if f.isFile()]
+    found = sorted(n for n in names if n.lower().endswith(".csv"))
     if not found:
         raise FileNotFoundError(f"no CSV file in {folder}")
     if len(found) > 1:
         raise RuntimeError(f"one CSV file is expected in {folder}, there are {len(found)}")
-    return str(found[0])
+    return found[0]
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -62,4 +68,4 @@ def date_range(lines: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    return dated(conformed(scan(spark, discover(folder))))
+    return dated(conformed(scan(spark, discover(folder, spark))))

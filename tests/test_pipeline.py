@@ -2,7 +2,10 @@ from datetime import date
 
 import pytest
 
-from millrace.plans.pipeline import Run, checked_request, export
+from pyspark.sql import functions as F
+
+from millrace.operators import gold, quality
+from millrace.plans.pipeline import Run, checked_request, export, main
 from millrace.sources import lake, landing
 
 HEAD = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
@@ -78,3 +81,69 @@ def test_requests(bad):
         checked_request(*bad)
     with pytest.raises(ValueError):
         checked_request("incremental", None, None, "a/b")
+
+
+def test_export_at_the_end_and_times(spark, tmp_path):
+    run = Run(spark, str(tmp_path / "store"), token="x", target=str(tmp_path / "out"))
+    run.go(snapshot(spark, tmp_path, ROWS))
+    assert lake.read(spark, str(tmp_path / "out/fact_sales")).count() == 3
+    assert {"prepare", "detect", "rebuild", "candidate", "publish", "commit", "export"} == set(run.seconds)
+    assert not (tmp_path / "store/source").exists() and not (tmp_path / "store/candidate").exists()
+
+
+def test_a_failed_run_commits_nothing_and_cleans_up(spark, tmp_path, monkeypatch):
+    go(spark, tmp_path, ROWS)
+    edited = [ROWS[2].replace("mug", "big mug"), *ROWS[3:]]
+
+    def fail(*_):
+        raise quality.CheckFailed("planted")
+
+    with monkeypatch.context() as m:
+        m.setattr(Run, "publish", fail)
+        with pytest.raises(quality.CheckFailed):
+            go(spark, tmp_path, edited)
+    assert not (tmp_path / "store/source").exists() and not (tmp_path / "store/candidate").exists()
+    assert held(spark, tmp_path, "state").count() == 5
+    (again,) = go(spark, tmp_path, edited)  # finds the same changes
+    assert again["change_counts"] == {"insert": 0, "update": 1, "delete": 2}
+
+
+def test_two_loads_of_a_product(spark, tmp_path):
+    """At equal times the row loaded later names the product, whatever the hashes."""
+    rows = ["1,A,{},2,2009-12-01 07:45:00,1.50,7,France", "9,A,{},2,2009-12-01 07:45:00,1.50,7,France"]
+    first = [r.format("old") for r in rows]
+    for news in ("aa", "bb", "cc", "dd"):
+        go(spark, tmp_path, first, "full_refresh")
+        sales = held(spark, tmp_path, "silver_transactions")
+        late = sales.limit(1).withColumn("description", F.lit(news)).withColumn("row_hash", F.md5(F.lit(news))).withColumn("silver_loaded_at", F.col("silver_loaded_at") + F.expr("INTERVAL 1 MINUTE"))
+        assert gold.dim_product(sales.unionByName(late)).first().product_name == news
+
+
+def test_an_interrupted_replacement_is_recovered(spark, tmp_path):
+    """Between the two moves the old rows stand aside; the next run or replacement puts them back."""
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, date(2020, 1, 1)), (2, date(2020, 1, 2))], "v int, d date")
+    lake.replace_dates(rows, path, "d", [])
+    (tmp_path / "t/d=2020-01-01").rename(tmp_path / "t/.d=2020-01-01.before")
+    assert [r.v for r in lake.read(spark, path).collect()] == [2]
+    lake.recover(spark, path)
+    assert sorted(r.v for r in lake.read(spark, path).collect()) == [1, 2]
+    (tmp_path / "t").rename(tmp_path / ".t.before")
+    lake.replace_table(rows.filter("v = 2"), path)
+    assert [r.v for r in lake.read(spark, path).collect()] == [2] and not (tmp_path / ".t.before").exists()
+    # The new rows are in place and the old ones have not gone yet.
+    (tmp_path / ".t.before").mkdir()
+    lake.recover(spark, path)
+    assert not (tmp_path / ".t.before").exists() and lake.read(spark, path).count() == 1
+    for content in ({"a": 1}, {"a": 2}):
+        lake.write_manifest(spark, str(tmp_path / "m.json"), content)
+    assert lake.read_manifest(spark, str(tmp_path / "m.json")) == {"a": 2}
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    snapshot(spark, tmp_path, ROWS)
+    for bad in (["--mode", "weekly"], ["--start", "2020-01-01"], ["--mode", "backfill"], ["--token", "a/b"]):
+        with pytest.raises(SystemExit):
+            main(["--landing", str(tmp_path / "in"), "--store", str(tmp_path / "store"), *bad])
+    assert main(["--landing", str(tmp_path / "in"), "--store", str(tmp_path / "store"), "--token", "c"]) == 0
+    assert held(spark, tmp_path, "fact_sales").count() == 3
