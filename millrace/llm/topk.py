@@ -3,13 +3,15 @@
 Vectors are dealt to cells (nearest of a bounded set of pivots) and cells are cut into blocks of about BLOCK vectors;
 each block holds a cover tree, and the queries of a cell hold trees of about GROUP queries. A pair of nodes is passed
 over if no inner product in it can reach the worst k-th score of the query node's queries: for centres q, r with
-covering radii Rq, Rr it is at most q.r + Rr|q| + Rq|r| + Rq Rr. A group first searches one block of its own cell,
-which gives it k-th scores to begin with; then those blocks whose root can still reach them, each as a task of its own.
+covering radii Rq, Rr it is at most q.r + Rr|q| + Rq|r| + Rq Rr. The data's trees hang in one: cells over blocks over nodes.
+A group first searches one block of its own cell, which gives it k-th scores to begin with; from then on it goes down: to
+the cells whose ball can still reach them (a table of at most MOST_PIVOTS balls goes to each task), to their blocks whose
+root can (joined by cell), and in those to the nodes. A block's tree is sent once for TOGETHER groups that search it.
 All arithmetic on scores is exact (integers under 2**53).
 
 Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no
-part. Shorter vectors count as padded with zeros. A query's own rows are all with its vec_id. Rows that repeat a
-vec_id and vector are one query and, as candidates of others, one candidate. Ties go to the smaller vec_id. Fewer
+part. Shorter vectors count as padded with zeros. A query's own rows are all with its vec_id. Rows that repeat both a
+vec_id and its vector are one row, as query and as candidate; vectors of one vec_id that differ are rows of their own. Ties go to the smaller vec_id. Fewer
 candidates than k give fewer rows; the empty table gives none. Other columns are not read.
 """
 
@@ -27,6 +29,8 @@ from .common import ship, stored
 
 #: Vectors of a data tree, of a query tree, of a leaf; vectors searched between looks at the bounds; most cells.
 BLOCK, GROUP, LEAF, BATCH, MOST_PIVOTS = 2048, 256, 64, 512, 1024
+#: Query groups, about, that search a block in one row.
+TOGETHER = 16
 
 
 @dataclass
@@ -99,7 +103,7 @@ class Search:
     def __init__(self, queries: Tree, k: int, kth=None) -> None:
         import numpy as np
 
-        self.q, self.k, self.best = queries, k, [[] for _ in queries.ids]
+        self.q, self.k, self.best, self.products = queries, k, [[] for _ in queries.ids], 0
         self.kth = np.full(len(queries.ids), -np.inf) if kth is None else np.array(kth, float)
 
     def run(self, data: Tree) -> Search:
@@ -153,6 +157,7 @@ class Search:
         mine, rows = (np.concatenate([np.arange(n.lo, n.hi) for n in ns]) for ns in (qs, rs))
         dim = min(self.q.points.shape[1], self.data.points.shape[1])
         scores, ids, k = self.q.points[mine, :dim] @ self.data.points[rows, :dim].T, self.data.ids[rows], self.k
+        self.products += scores.size
         scores[self.q.ids[mine][:, None] == ids[None, :]] = -np.inf
         least = np.maximum(self.kth[mine], np.finfo(float).min)
         able = scores >= least[:, None]
@@ -209,7 +214,7 @@ def _trees(celled: DataFrame, size: int, name: str) -> DataFrame:
     """id, cell, slice, centre, norm, radius, tree: a row for each tree of about size vectors."""
     cuts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("slices"))
     dealt = celled.join(F.broadcast(cuts), "cell")  # at most MOST_PIVOTS rows
-    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.lit(7)), "slices").cast("int"))
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("vec_id", "v", F.lit(7)), "slices").cast("int"))
 
     def make(group: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -234,8 +239,9 @@ def _load(blob: bytes) -> Tree:
 FOUND = "g string, b string, query_id long, vec_id long, score long, kth binary, worst double"
 
 
-def _searched(pairs: DataFrame, k: int) -> DataFrame:
-    """pairs (g, b, q_tree, r_tree, kth): rows of scores, and for each pair a row with the k-th scores reached."""
+def _searched(pairs: DataFrame, q: DataFrame, r: DataFrame, k: int) -> DataFrame:
+    """pairs (g, b, kth) of the trees q (g, q_tree) and r (b, r_tree): rows of scores, and for each pair a row with the k-th
+    scores reached. A row that is searched holds a block's tree and those of about TOGETHER groups."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -245,13 +251,45 @@ def _searched(pairs: DataFrame, k: int) -> DataFrame:
         names = ["g", "b", "query_id", "vec_id", "score", "kth", "worst"]
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                search = Search(_load(one["q_tree"]), k, None if one["kth"] is None else np.frombuffer(one["kth"])).run(_load(one["r_tree"]))
-                rows = [(one["g"], one["b"], int(q), i, int(-s), None, None) for q, best in zip(search.q.ids, search.best, strict=True) for s, i in best]
-                rows.append((one["g"], one["b"], None, None, None, search.kth.tobytes(), float(search.kth.min())))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                b, data = batch.column("b")[row].as_py(), _load(batch.column("r_tree")[row].as_py())
+                for one in batch.column("asked")[row]:
+                    g, kth = one["g"].as_py(), one["kth"].as_py()
+                    search = Search(_load(one["q_tree"].as_py()), k, None if kth is None else np.frombuffer(kth)).run(data)
+                    rows = [(g, b, int(q), i, int(-s), None, None) for q, best in zip(search.q.ids, search.best, strict=True) for s, i in best]
+                    rows.append((g, b, None, None, None, search.kth.tobytes(), float(search.kth.min())))
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return pairs.select("g", "b", "q_tree", "r_tree", "kth").mapInArrow(run, FOUND)
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("g"), "parts"))
+    asked = dealt.join(q, "g").groupBy("b", "part").agg(F.collect_list(F.struct("g", "kth", "q_tree")).alias("asked"))
+    return asked.join(r, "b").repartition("b", "part").select("b", "r_tree", "asked").mapInArrow(run, FOUND)
+
+
+def _reaching(groups: DataFrame, balls: list) -> DataFrame:
+    """g, cell: the cells whose ball (cell, centre, radius) can reach the worst of a group (g, q, worst)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        width = max(len(c) for _, c, _ in balls)
+        centres = np.array([[*c, *[0.0] * (width - len(c))] for _, c, _ in balls])
+        radii, norms = np.array([r for *_, r in balls]), np.linalg.norm(centres, axis=1)
+        for batch in batches:
+            gs, cells = [], []
+            for g, q, worst in zip(*(batch.column(c).to_pylist() for c in ("g", "q", "worst")), strict=True):
+                at = min(width, len(q["centre"]))
+                bound = centres[:, :at] @ np.array(q["centre"][:at]) + radii * q["norm"] + q["radius"] * (norms + radii)
+                keep = np.flatnonzero(bound + 1e-9 * np.abs(bound) + 1e-6 >= worst)
+                gs += [g] * len(keep)
+                cells += [balls[i][0] for i in keep]
+            yield pa.record_batch([pa.array(gs, pa.string()), pa.array(cells, pa.int32())], names=["g", "cell"])
+
+    return groups.select("g", "q", "worst").mapInArrow(run, "g string, cell int")
+
+
+def _dot(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
@@ -266,16 +304,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
     groups = _trees(_cells(asked, pivots), GROUP, "top-groups")
     q = groups.select(F.col("id").alias("g"), F.col("cell").alias("g_cell"), F.col("tree").alias("q_tree"), F.struct("centre", "norm", "radius").alias("q"))
     r = blocks.select(F.col("id").alias("b"), "cell", "slice", F.col("tree").alias("r_tree"), F.struct("centre", "norm", "radius").alias("r"))
-    own = q.join(r.filter("slice = 0"), F.col("g_cell") == F.col("cell")).withColumn("kth", F.lit(None).cast("binary"))
-    first = stored(_searched(own.repartition("g"), k), "top-first")
+    trees = (q.select("g", "q_tree"), r.select("b", "r_tree"))
+    # A cell's ball: about its first block's centre, wide enough for every block of it. At most MOST_PIVOTS rows.
+    heads = r.groupBy("cell").agg(F.min_by(F.struct("b", "r"), "slice").alias("head"))
+    apart = F.sqrt(F.greatest(F.lit(0.0), F.col("r.norm") ** 2 + F.col("head.r.norm") ** 2 - 2 * _dot("r.centre", "head.r.centre")))
+    wide = r.join(F.broadcast(heads), "cell").groupBy("cell").agg(F.any_value("head.b").alias("b"), F.any_value("head.r.centre").alias("centre"), F.max(apart + F.col("r.radius")).alias("radius"))
+    balls = [(x.cell, x.centre, x.radius * (1 + 1e-9) + 1e-3, x.b) for x in wide.collect()]
+    if not balls:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    heads = vectors.sparkSession.createDataFrame([(c, b) for c, _, _, b in balls], "cell int, b string")
+    own = q.join(F.broadcast(heads), F.col("g_cell") == F.col("cell")).select("g", "b", F.lit(None).cast("binary").alias("kth"))
+    first = stored(_searched(own, *trees, k), "top-first")
     reached = first.filter("kth IS NOT NULL").select("g", "kth", "worst", F.col("b").alias("done"))
-    # Roots against roots: each group beside each block's centre, in narrow rows.
-    roots = q.join(reached, "g").select("g", "q", "kth", "worst", "done")
-    pairs = roots.join(F.broadcast(r.select("b", "r")) if blocks.count() <= 20_000 else r.select("b", "r"), F.col("b") != F.col("done"))
-    dot = F.aggregate(F.zip_with("q.centre", "r.centre", lambda x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    bound = dot + F.col("r.radius") * F.col("q.norm") + F.col("q.radius") * F.col("r.norm") + F.col("q.radius") * F.col("r.radius")
-    pairs = pairs.filter(bound * (1 + 1e-9) + 1e-6 >= F.col("worst")).select("g", "b", "kth")
-    rest = stored(_searched(pairs.join(q.select("g", "q_tree"), "g").join(r.select("b", "r_tree"), "b").repartition("g", "b"), k), "top-rest")
+    roots = stored(q.select("g", "q").join(reached, "g", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")))), "top-roots")
+    pairs = _reaching(roots, [x[:3] for x in balls]).join(r.select("b", "cell", "r"), "cell").join(roots, "g").filter(~F.col("b").eqNullSafe(F.col("done")))
+    bound = _dot("q.centre", "r.centre") + F.col("r.radius") * F.col("q.norm") + F.col("q.radius") * F.col("r.norm") + F.col("q.radius") * F.col("r.radius")
+    pairs = stored(pairs.filter(bound * (1 + 1e-9) + 1e-6 >= F.col("worst")).select("g", "b", "kth"), "top-pairs")
+    rest = stored(_searched(pairs, *trees, k), "top-rest")
     found = first.unionByName(rest).filter("query_id IS NOT NULL").select("query_id", "vec_id", "score").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -56,3 +56,45 @@ def test_tree_invariants():
                 check(c)
 
     check(tree.root)
+
+
+def test_few_products_on_clustered_vectors():
+    """In tight clusters most pairs of nodes are passed over."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(16, 8)) * 4000
+    points = np.floor(np.repeat(centres, 256, axis=0) + rng.normal(size=(4096, 8)) * 40)
+    own = np.arange(0, 4096, 4)
+    search = topk.Search(topk.build(own, points[own]), 5).run(topk.build(np.arange(4096), points))
+    assert search.products < 0.15 * len(own) * len(points)
+    scores = points[own] @ points.T
+    scores[np.arange(len(own)), own] = -np.inf
+    at = {int(q): i for i, q in enumerate(own)}
+    for q, best in zip(search.q.ids, search.best, strict=True):
+        want = sorted((-s, i) for i, s in enumerate(scores[at[int(q)]].tolist()))[:5]
+        assert best == want
+
+
+def test_blocks_are_passed_over_and_queries_beyond_the_data_are_answered(spark, monkeypatch):
+    """Many blocks in clusters; queries that lie in cells without data; a vec_id that fills a cell with its vectors."""
+    import numpy as np
+
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "GROUP", 8)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 4)) * 100
+    rows = [(int(i), [float(x) for x in centres[i % 8] + rng.normal(size=4)]) for i in range(600)]
+    rows += [(7777, [50.0 + i, 1.0, 2.0, 3.0]) for i in range(90)]
+    asked = [(10_000 + i, [float(x) for x in rng.normal(size=4) * 500]) for i in range(20)] + rows[:40]
+    schema = "vec_id long, embedding array<float>"
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    ints = lambda v: np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64)
+    data = [(i, ints(v)) for i, v in rows]
+    for q, v in asked:
+        v = ints(v)
+        want = sorted((-int(v @ x), i) for i, x in data if i != q)
+        want = sorted(set(want))[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
