@@ -72,10 +72,11 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(held, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives the loss of executors."""
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: cuts lineage, survives the loss of executors. narrow: rows so
+    short that Spark is to gather them into files of its usual size first."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(written(df.sparkSession, path))
 
 

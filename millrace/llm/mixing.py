@@ -83,7 +83,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """docs packed as `row`, with size, source_size, target, and taken: the words that the mix takes, repeats counted."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     sized = rows.select("row", F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"), id_hash(F.col("row.doc_id"), F.col("row.text")).alias("hash"))
-    sizes = stored(sized.select("source", "size", "hash"), "mix-sizes")
+    sizes = stored(sized.select("source", "size", "hash"), "mix-sizes", narrow=True)
     return _taken(sized, sizes, **options)
 
 
@@ -101,7 +101,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), id_hash(F.col("doc_id"), F.col("text")).alias("hash")), "mix-sizes")
+    slim = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), id_hash(F.col("doc_id"), F.col("text")).alias("hash")), "mix-sizes", narrow=True)
     return _taken(slim, slim).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -209,7 +209,7 @@ def near_deduped(docs: DataFrame, shingle: int = jaccard.SHINGLE, least: int = j
     texts = docs.select("doc_id", "text")
     found = stored(jaccard.shingled(texts, shingle, least), "sim-sets")
     pairs = jaccard.links(found, texts, components, shingle, least, close=close)
-    out = stored(grouped(found.select("doc_id", "th", "fp"), pairs), "sim-groups").withColumn("key", F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), F.col("th").alias("th")))
+    out = stored(grouped(found.select("doc_id", "th", "fp"), pairs), "sim-groups", narrow=True).withColumn("key", F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), F.col("th").alias("th")))
     component = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
     kept = out.groupBy(component.alias("component")).agg(F.min("key").alias("key"))
     gone = stored(out.select("key").distinct().join(kept.select("key"), "key", "left_anti"), "sim-gone")
@@ -226,5 +226,5 @@ def near_deduped(docs: DataFrame, shingle: int = jaccard.SHINGLE, least: int = j
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = stored(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "sim-fp")
+    found = stored(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "sim-fp", narrow=True)
     return grouped(found).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

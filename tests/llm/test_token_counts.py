@@ -63,3 +63,46 @@ def test_query_and_cases(spark, library):
     long = (3, 240_000, len(library.encode("x y " * 60_000, add_special_tokens=False).ids), True)
     assert out == sorted([(1, 0, 0, False), (2, 0, 0, False), (None, 3, 2, False), long, long], key=str)
     assert token_counts.counted(docs.limit(0), bpe.vocabulary()).count() == 0
+
+
+def test_pairs_that_stay_against_merging():
+    """The walk down both sides of a seam against merging the two tokens' text."""
+    voc = bpe.vocabulary()
+    merger, rng = token_counts.Merger(voc), random.Random(9)
+    made = sorted({i for i in merger.ends if i >= 0})
+    short = [i for i in made if len(voc.token[i]) <= 3]
+    pairs = [(rng.choice(s), rng.choice(s)) for s in (made, short) for _ in range(4000)]
+    for c in b"aeots -=.0":
+        same = [i for i in made if set(voc.token[i]) == {c}]
+        pairs += [(a, b) for a in same for b in same]
+    for a, b in pairs:
+        assert merger._stays(a, b) == (bpe.merge_word(voc, voc.token[a] + voc.token[b]) == [a, b])
+
+
+def test_odd_strings_and_newest_letters(counter, library):
+    from test_pieces import FIXED, strings
+
+    some = [*FIXED, *strings(20_000, 7)]
+    for at in range(0, len(some), 4000):
+        agree(counter, library, some[at : at + 4000])
+
+
+def test_long_unbroken_texts_are_quick(counter, library):
+    """Chunks without a blank go side by side: a megabyte of letters, and characters of three bytes."""
+    import time
+
+    rng = random.Random(10)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(100_000)), "ab" * 200_000, " " * 50_000, "\n \n" * 20_000):
+        began = time.process_time()
+        got = counter.counts([text])
+        assert time.process_time() - began < 40
+        assert got == [(len(text.encode()), len(library.encode(text, add_special_tokens=False).ids))]
+
+
+def test_the_bound_on_states_holds_within_a_call(library, monkeypatch):
+    monkeypatch.setattr(token_counts, "SEGMENT", 2000)
+    small, rng = token_counts.Counter(bpe.vocabulary(), states=3000), random.Random(11)
+    small.numbers = 9000
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé漢 ") for _ in range(n)) for n in (10, 30_000, 200, 60_000)] + ["<|endoftext|>".join(["x" * 50, "漢字" * 4000, ""])]
+    agree(small, library, texts)
+    assert len(small.state) <= 9000
