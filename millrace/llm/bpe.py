@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remembered, ship
+from .common import free, remembered, ship
 from .pieces import Letters, Memory, Pieces, binary, gathered, pieces, runs
 
 #: Pieces in a generation of a worker's memory, and longest word that goes through the side-by-side trees.
-REMEMBERED, SHORT = 200_000, 32
+REMEMBERED, SHORT = 120_000, 32
 #: Words whose trees stand side by side.
 BESIDE = 8192
 NONE = (1 << 62) - 1
@@ -285,6 +285,7 @@ def encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
                 same = pa.array([a == b.as_py() for a, b in zip(back, texts, strict=True)], pa.bool_())
                 yield pa.record_batch([rows.column("doc_id").slice(at, len(texts)), *cols, same], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
                 at += len(texts)
+        free()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
@@ -318,6 +319,7 @@ def with_tokens(docs: DataFrame, voc: Vocabulary | None = None, name: str = "tok
                 found, bounds = codec.ids(run)
                 out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found)))
             yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        free()
 
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     return docs.select(row.alias("row")).select("row.*", ids(F.col("row.text")).alias(name))

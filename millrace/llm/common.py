@@ -123,6 +123,8 @@ def remembered(key: str, make, *args):
 def free() -> None:
     """Gives memory that this process no longer needs back to the system."""
     gc.collect()
+    if arrow := sys.modules.get("pyarrow"):
+        arrow.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)
 

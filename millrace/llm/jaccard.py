@@ -21,7 +21,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ship, stored
+from .common import BROADCAST_ROWS, free, ship, stored
 
 #: Words of a shingle; least similarity in percent.
 SHINGLE, LEAST = 5, 80
@@ -117,6 +117,7 @@ def shingled(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Dat
                 keys.append(hs[np.lexsort((hs, late))[:first]].view("i8"))
             fps = pa.array(np.array(fps, "u8").view("i8"))
             yield pa.record_batch([batch.column("doc_id"), batch.column("th"), fps, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sims, pa.int64()), pa.array(odds, pa.binary())], names=["doc_id", "th", "fp", "n", "keys", "sim", "odd"])
+        free()
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, n int, keys array<long>, sim long, odd binary")
@@ -202,6 +203,8 @@ def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, l
         for batch in batches:
             ok = [similar(own(x.as_py()), frozenset(shingles(y.as_py(), shingle)), least) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        own.cache_clear()
+        free()
 
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").count().filter(F.col("count") >= times).select("a", "b")
     pairs = stored(pairs, "near-counted")
@@ -250,6 +253,7 @@ def links(found: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE,
                 i = i[_possible(n, pos, start[i], i, least)]
                 yield out(fp[start[i]], fp[i], np.zeros(len(i), "i8"), None, None)
                 yield out(fp[large], None, key[large], n[large], pos[large])
+        free()
 
     keys = labelled(sets.select("fp", "n", "keys")).select("fp", "n", "label", F.posexplode("keys").alias("pos", "key"))
     got = stored(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(first, "a long, b long, key long, n int, pos int"), "near-first")
@@ -269,6 +273,7 @@ def links(found: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE,
             bits = np.frombuffer(b"".join(odd.tolist()), np.uint64).reshape(-1, ODD // 64)
             for a, b in _paired(key, fp, n, pos, least, label, task, bits):
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        free()
 
     # Only keys whose sets are still apart have anything left to pair.
     rows = stored(labelled(large).join(sets.select("fp", "odd"), "fp"), "near-rest")

@@ -375,6 +375,7 @@ def _apply(rows: DataFrame, text: str, model: Model) -> DataFrame:
         for texts in parts:
             done = [scorer(t) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in done], "spans": [x for _, x in done]})
+        free()
 
     return rows.withColumn("tox", tag(F.col(text)))
 
