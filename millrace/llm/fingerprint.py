@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, stored
 
+#: Bytes of text in a range of documents, and the most ranges, whose limits each task holds.
+RANGE_BYTES, RANGES = 16 << 20, 20_000
+
 
 def canonical(text: Column) -> Column:
     """NFKC, case folding and white-space folding by the Unicode library that Spark ships."""
@@ -31,13 +34,15 @@ def wide_hash(form: Column) -> Column:
 
 def in_order(rows: DataFrame) -> DataFrame:
     """rows (doc_id, text, h) with next_id, next_text and next_h of the row after each in ascending doc_id order; after
-    the last comes the first. Rows are dealt to ranges of doc_id, in which the next row is at hand; behind each range
-    stands a copy of the first row of the range after it (a row for each range, however large the table)."""
+    the last comes the first. Rows are dealt to ranges of doc_id of about RANGE_BYTES, in which the next row is at hand;
+    behind each range stands a copy of the first row of the range after it (a row for each range). Beyond RANGES of
+    them they grow instead, and the sort within each spills."""
     spark = rows.sparkSession
-    n = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or [0]))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = min(RANGES, max(8, -(-size // RANGE_BYTES)))
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or [0]))
     steps = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
-    below = F.lit(cuts)
+    below = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")  # one literal, folded once
     # Binary search: how many cuts are at or under doc_id.
     part = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.get(below, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
     part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(part)
@@ -52,6 +57,7 @@ def in_order(rows: DataFrame) -> DataFrame:
     firsts = rows.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("to_part", "doc_id").agg(F.min(F.struct("text", "h")).alias("f"))
     guards = firsts.select("doc_id", "f.text", "f.h", F.col("to_part").alias("part"), F.lit(True).alias("guard"))
     dealt = rows.select("doc_id", "text", "h", part.alias("part"), F.lit(False).alias("guard")).unionByName(guards)
+    dealt = dealt.repartition(n, "part")  # as many tasks as ranges, whatever the session's setting
     ordered = Window.partitionBy("part").orderBy("guard", F.col("doc_id").asc_nulls_last(), "text")
     lead = [F.lead(c).over(ordered).alias(f"next_{name}") for c, name in (("doc_id", "id"), ("text", "text"), ("h", "h"))]
     return dealt.select("doc_id", "text", "h", "guard", *lead).filter(~F.col("guard")).drop("guard")
