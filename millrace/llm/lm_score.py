@@ -7,8 +7,8 @@ With n counts of d different bytes after a context, a byte counted k times has p
 d / 2n is left for escaping to the context one byte shorter, from which the bytes already offered are excluded. Below
 order 0 the bytes left are alike. A document's code length is the sum over its bytes.
 
-Two tables of fixed size, the HEAD_GRAMS and HEAD_WORDS with the highest counts, go to every task by broadcast; they
-are a fast path only. Whatever isn't in them goes by shuffle to the full tables, as (row, gram or word, count), so
+Two tables of bounded size, the HEAD_GRAMS and HEAD_WORDS (of up to WORD_BYTES) with the highest counts, go to every
+task by broadcast; they are a fast path only. Whatever isn't in them goes by shuffle to the full tables, as (row, gram or word, count), so
 counts cover the whole corpus and no table has to fit into one task. Bytes never seen after their context go through
 joins with the trie's levels, a node holding at most 256 bytes and counts.
 
@@ -30,6 +30,8 @@ from .common import ship, stored
 
 ORDER = 5
 HEAD_GRAMS, HEAD_WORDS = 400_000, 150_000
+#: Bytes of the longest word that the head table may hold, so that its rows bound its size.
+WORD_BYTES = 64
 #: Grams or words that a task gathers before it hands them on.
 GATHERED = 3_000_000
 MIX = 0x9E3779B97F4A7C15
@@ -299,9 +301,11 @@ def scores(docs: DataFrame, order: int = ORDER, head_grams: int = HEAD_GRAMS, he
     context = counts.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("all"))
     logs = counts.withColumn("ctx", F.shiftright("gram", 8)).join(context, "ctx").select("gram", "n", F.log10((2 * F.col("n") - 1) / (2 * F.col("all"))).alias("log"))
     logs = stored(logs, "ppm-logs")
-    top = most_frequent(logs, head_grams).select("gram", "log").toPandas()
-    often = most_frequent(words, head_words).toPandas()
-    head = Head(top["gram"].to_numpy(np.int64), top["log"].to_numpy(float), {bytes(w): math.log10(n + 1) for w, n in zip(often["word"], often["n"], strict=True)})
+    top = most_frequent(logs, head_grams).select("gram", "log").toArrow()
+    often = most_frequent(words.filter(F.octet_length("word") <= WORD_BYTES), head_words).select("word", "n").toArrow()
+    n_often = np.log10(often["n"].to_numpy() + 1.0).tolist()
+    head = Head(top["gram"].to_numpy(), top["log"].to_numpy(), dict(zip(often["word"].to_pylist(), n_often, strict=True)))
+    del top, often, n_often
     rows = stored(_scored(docs, head, order), "ppm-rows")
     # What the head tables don't hold: distinct grams and words, then the rows that ask for them.
     rare_grams = rows.filter("gram IS NOT NULL").select("uid", "gram", "n")
