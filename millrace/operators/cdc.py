@@ -6,24 +6,44 @@ has one version came or went, one whose versions differ in hash changed, and all
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import numbered, row_hash
 from ..schemas import BUSINESS
 
 SIDES = ("before", "after")
 
 
+def _version() -> Column:
+    return F.struct(F.col("_row_hash").alias("hash"), F.col("_batch_date").alias("date"), *BUSINESS)
+
+
 def _versions(lines: DataFrame, side: str) -> DataFrame:
     """record_key and, for the side, the line's hash, date and columns; null for the other side."""
-    version = F.struct(F.col("_row_hash").alias("hash"), F.col("_batch_date").alias("date"), *BUSINESS)
+    version = _version()
     empty = F.lit(None).cast(lines.select(version.alias("v")).schema["v"].dataType)
     return lines.select(F.col("_record_key").alias("record_key"), *[(version if s == side else empty).alias(s) for s in SIDES])
 
 
 def events(previous: DataFrame, current: DataFrame, run_token: str | None = None) -> DataFrame:
     """A row for each record that came, went or changed. Both sides are keyed by functions.keys.keyed."""
-    versions = _versions(previous, "before").unionByName(_versions(current, "after"))
+    return _events(_versions(previous, "before").unionByName(_versions(current, "after")), run_token)
+
+
+def events_of(lines: DataFrame, run_token: str | None = None) -> DataFrame:
+    """events() of the lines of both snapshots in one table: _side is before or after, and _identity_hash stands there
+    by functions.keys.together. Identities of which both sides hold the same lines, as often, number them alike and
+    give no event; they go before anything else moves."""
+    lines = lines.withColumn("_row_hash", row_hash())
+    more = F.sum(F.when(F.col("_side") == "before", 1).otherwise(-1)).over(Window.partitionBy("_identity_hash", "_row_hash"))
+    differs = F.max(F.col("_more") != 0).over(Window.partitionBy("_identity_hash"))
+    lines = numbered(lines.withColumn("_more", more).withColumn("_differs", differs).filter("_differs"), "_side")
+    sides = [F.when(F.col("_side") == s, _version()).alias(s) for s in SIDES]
+    return _events(lines.select(F.col("_record_key").alias("record_key"), *sides), run_token)
+
+
+def _events(versions: DataFrame, run_token: str | None) -> DataFrame:
     records = versions.groupBy("record_key").agg(*[F.any_value(s, ignoreNulls=True).alias(s) for s in SIDES])
     changed = records.filter(~F.col("before.hash").eqNullSafe(F.col("after.hash")))
     columns = {"operation": F.when(F.isnull("before"), "INSERT").when(F.isnull("after"), "DELETE").otherwise("UPDATE")}
