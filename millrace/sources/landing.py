@@ -41,9 +41,14 @@ def conformed(raw: DataFrame) -> DataFrame:
     return raw.select(*[F.col(c).cast("string") for c in BUSINESS])
 
 
+def timed(lines: DataFrame) -> DataFrame:
+    """lines with _invoice_timestamp, null where no format fits."""
+    return lines.withColumn("_invoice_timestamp", parsing.timestamp(F.col("InvoiceDate")))
+
+
 def dated(lines: DataFrame, source_file: str | None = None) -> DataFrame:
-    """lines with _invoice_timestamp, _batch_date (null where no format fits), _source_file and _converted_at."""
-    lines = lines.withColumn("_invoice_timestamp", parsing.timestamp(F.col("InvoiceDate")))
+    """lines with _invoice_timestamp, where it isn't there yet, _batch_date, _source_file and _converted_at."""
+    lines = lines if "_invoice_timestamp" in lines.columns else timed(lines)
     return lines.withColumns(
         {"_batch_date": F.to_date("_invoice_timestamp"), "_source_file": F.input_file_name() if source_file is None else F.lit(source_file), "_converted_at": F.current_timestamp()}
     )

@@ -6,11 +6,11 @@ import re
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import keyed, together
-from millrace.operators import cdc
+from millrace.operators import cdc, gold, silver
 from millrace.plans.queries import QUERIES
 from millrace.schemas import IDENTITY
 
-from test_operators import SF, line, lines
+from test_operators import SF, classified, line, lines
 
 
 def plan(df) -> str:
@@ -35,3 +35,22 @@ def test_changes_move_each_line_once(spark):
         assert len(re.findall(r"FileScan parquet \[l_orderkey", found)) == 1, name
     found = plan(QUERIES["record_keys"](spark, SF))
     assert "Exchange hashpartitioning(sha2(" in found and "Exchange hashpartitioning(_identity_hash" not in found
+
+
+def test_fact_guards_leave_the_fact_where_it_is(spark):
+    found = plan(QUERIES["fact_sales"](spark, SF))
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", found)) == 1
+    assert "LeftSemi" not in found and "Exchange hashpartitioning(sha2(" in found and "Exchange hashpartitioning(row_hash" not in found
+
+
+def test_fact_without_keys_that_dimensions_lack(spark, monkeypatch):
+    sales = silver.transactions(classified(spark, [line(), line("2", "B"), line("3", "D", country="Spain"), line("4", "E")]))
+    sales = sales.withColumn("stock_code", F.when(F.col("stock_code") != "E", F.col("stock_code")))  # a null key
+    dims = gold.dim_date(sales), gold.dim_product(sales).filter("stock_code <> 'B'"), gold.dim_country(sales).filter("country_name <> 'Spain'")
+    want = gold.measured(sales)
+    for key, dim in zip(("date_key", "product_key", "country_key"), dims, strict=True):
+        want = want.join(dim.select(key), key, "left_semi")
+    want = sorted(r.sales_key for r in want.collect())
+    for few in (gold.FEW, 1):
+        monkeypatch.setattr(gold, "FEW", few)
+        assert sorted(r.sales_key for r in gold.fact_sales(sales, *dims).collect()) == want and len(want) == 1
