@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,18 @@ def has_data(spark: SparkSession, path: str) -> bool:
     return fs.exists(place) and any("=" in (n := s.getPath().getName()) or not n.startswith(("_", ".")) for s in fs.listStatus(place))
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is run within it leaves no shuffle files behind; else they stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if held is None else spark.conf.set(name, held)
+
+
 def replace_dates(rows: DataFrame, path: str, column: str, dates: Iterable[date]) -> None:
     """Puts rows in place of the listed dates of the table. Dates that rows no longer have disappear, which dynamic
     overwriting alone would leave. rows may come from the table itself: they are written beside it first, and what

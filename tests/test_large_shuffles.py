@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions.keys import keyed, together
 from millrace.operators import cdc, gold, silver
-from millrace.plans.queries import QUERIES
+from millrace.plans.queries import QUERIES, _state
 from millrace.schemas import IDENTITY
+from millrace.sources import lake
 
 from test_operators import SF, classified, line, lines
 
@@ -54,3 +55,20 @@ def test_fact_without_keys_that_dimensions_lack(spark, monkeypatch):
     for few in (gold.FEW, 1):
         monkeypatch.setattr(gold, "FEW", few)
         assert sorted(r.sales_key for r in gold.fact_sales(sales, *dims).collect()) == want and len(want) == 1
+
+
+def test_shuffle_files_go_with_what_made_them(spark, tmp_path):
+    def held() -> int:
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    rows, name = spark.range(1000).repartition(3, "id"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = held(), spark.conf.get(name)
+    with lake.tidy(spark):
+        rows.write.parquet(str(tmp_path / "a"))
+        assert held() <= before
+    assert spark.conf.get(name) == setting
+
+
+def test_state_holds_hashes_as_bytes(spark):
+    state = _state(keyed(lines(spark, [line()])))
+    assert [len(state.first()[c]) for c in ("_record_key", "_row_hash")] == [32, 32]
