@@ -162,7 +162,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
     def kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
         seen = Observation()
-        out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "cc")
+        out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "cc", narrow=True)
         return out, (seen.get["n"], seen.get["x"])
 
     edges, state = kept(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -170,7 +170,7 @@ def components(pairs: DataFrame) -> DataFrame:
         often = max(200, state[0] // 20_000)  # at most 20,000 nodes have more rows, of two longs each
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = stored(_minima(both.filter("v > u"), low, often).select(F.col("v").alias("u"), F.col("m").alias("v")), "cc")
+        large = stored(_minima(both.filter("v > u"), low, often).select(F.col("v").alias("u"), F.col("m").alias("v")), "cc", narrow=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _minima(large, low, often).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         before, (edges, state) = state, kept(small.distinct())
@@ -182,14 +182,14 @@ def components(pairs: DataFrame) -> DataFrame:
 def grouped(found: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """found (doc_id, fp, ...) with component_id, the smallest doc_id of those reachable by pairs (a, b) of fp; without
     pairs, by close fingerprints."""
-    per = stored(found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")), "sim-distinct")
+    per = stored(found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")), "sim-distinct", narrow=True)
     n, total = per.agg(F.count(F.lit(1)), F.sum("rows")).first()
     roots = components(links(per.select("fp"), n) if pairs is None else pairs)
     named = per.join(roots, per["fp"] == roots["node"], "left").select("fp", "rows", "low", F.coalesce("root", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     # Fingerprints of large groups of copies are few (less than 50,000): they go by broadcast, the others by shuffle.
     often = max(2_000, (total or 0) // 50_000)
-    classes = stored(named.join(lows, "root").select(F.col("fp").alias("f"), "component_id", (F.col("rows") > often).alias("hot")), "sim-classes")
+    classes = stored(named.join(lows, "root").select(F.col("fp").alias("f"), "component_id", (F.col("rows") > often).alias("hot")), "sim-classes", narrow=True)
     hot = F.broadcast(classes.filter("hot").select("f", F.col("component_id").alias("c"), "hot"))
     marked = found.join(hot, F.col("fp") == F.col("f"), "left").drop("f")
     few = marked.filter("hot").withColumnRenamed("c", "component_id").drop("hot")
