@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -47,6 +47,8 @@ BEGINNINGS = (4, 5, 6)
 PUNCTUATION = string.punctuation + "“”„«»…¿¡"
 #: Most characters of the training sample, toxic and clean each; rounds of gradient ascent; weight of the ridge.
 SAMPLE_CHARS, ROUNDS, RIDGE = 64_000_000, 100, 0.02
+#: Words of toxic documents whose neighbours are counted at a time, about; the kind of a word without features.
+PLACES, NONE = 250_000, -1
 #: Most words with evidence that a worker remembers; tokens after which marginals have settled; marginals that add nothing.
 REMEMBERED, SETTLED, FEW = 100_000, 128, 0.05
 
@@ -112,39 +114,93 @@ def _summary(marginals: list[float], more: float = 0.0) -> tuple[float, float]:
 
 
 def fit(docs: Iterable[tuple[str, int]], rounds: int = ROUNDS) -> Model:
-    """The model from (text, toxic) pairs. Documents are kept as arrays of word numbers. In toxic documents a word
-    counts once for each pair of neighbours that it stands between, so copies of one document, whose words all share
-    a fate, count as one."""
-    import numpy as np
-
-    number: dict[str, int] = {}
-    held = [(np.array([number.setdefault(w, len(number)) for w in (t or "").lower().split()], np.uint32), y) for t, y in docs]
-    n = Counter(y for _, y in held)
-    if not n[0] or not n[1]:
+    """The model from (text, toxic) pairs."""
+    docs = list(docs)
+    return _fit(lambda: (t for t, y in docs if y), lambda: (t for t, y in docs if not y), rounds)
+
+
+def _fit(toxic_texts: Callable[[], Iterable[str]], clean_texts: Callable[[], Iterable[str]], rounds: int = ROUNDS) -> Model:
+    """The model from toxic and from clean texts, each read twice: for the counts that choose the features, and for the
+    places of the words that have chosen ones. All words are held of toxic texts only, and only while they are counted.
+    In toxic documents a word counts once for each pair of neighbours that it stands between, so copies of one document,
+    whose words all share a fate, count as one."""
+    n_toxic, toxic = _often(toxic_texts())
+    often = max(3, 0.004 * n_toxic)
+    n_clean, clean = 0, Counter()
+    for t in clean_texts():
+        n_clean += 1
+        clean.update({f for w in set((t or "").lower().split()) for f in features(w) if f in toxic})
+    if not n_toxic or not n_clean:
         return Model()
-    words = list(number)
-    triples = [np.stack([np.concatenate([[0], x[:-1]]), x, np.concatenate([x[1:], [0]])], axis=1) for x, y in held if y and len(x)]
-    distinct = np.unique(np.concatenate(triples), axis=0)[:, 1] if triples else np.zeros(0, np.uint32)
-    toxic = Counter()
-    for w, k in zip(*np.unique(distinct, return_counts=True), strict=True):
-        for f in features(words[int(w)]):
-            toxic[f] += int(k)
-    often = max(3, 0.004 * n[1])
-    toxic = Counter({f: k for f, k in toxic.items() if k >= often})
-    bears = {i: fs for i, w in enumerate(words) if (fs := [f for f in features(w) if f in toxic])}
-    any_ = np.zeros(len(words), bool)
-    any_[list(bears)] = True
-    clean = Counter()
-    for x, y in held:
-        if not y:
-            clean.update({f for i in np.unique(x[any_[x]]).tolist() for f in bears[i]})
-    lift = lambda f: math.log((toxic[f] + 0.5) / n[1]) - math.log((clean[f] + 0.5) / n[0])
+    lift = lambda f: math.log((toxic[f] + 0.5) / n_toxic) - math.log((clean[f] + 0.5) / n_clean)
     chosen = {f for f, k in toxic.items() if clean[f] <= 0.02 * k and lift(f) > math.log(20)}
     # A beginning says nothing of its own if all but few of its words are one chosen word.
     for f in [f for f in chosen if f[0] != "^"]:
         chosen -= {b for b in features(f)[1:] if b in chosen and toxic[b] - toxic[f] < often}
-    bears = {i: kept for i, fs in bears.items() if (kept := [f for f in fs if f in chosen])}
-    return _train(held, chosen, bears, rounds)
+    del toxic, clean
+    sets: dict[tuple, int] = {}
+    starts = {f.removeprefix("^")[: BEGINNINGS[0]] for f in chosen}  # one of these is how a word with features begins
+
+    def kind(word: str) -> int:
+        if word.strip(PUNCTUATION)[: BEGINNINGS[0]] not in starts:
+            return NONE
+        fs = tuple(sorted(f for f in features(word) if f in chosen))
+        return sets.setdefault(fs, len(sets)) if fs else NONE
+
+    held = [(_sparse([kind(w) for w in (t or "").lower().split()]), y) for y, texts in ((0, clean_texts), (1, toxic_texts)) for t in texts()]
+    return _train(held, chosen, list(sets), rounds)
+
+
+def _often(texts: Iterable[str]) -> tuple[int, Counter]:
+    """The number of toxic texts, and the counts of their frequent features."""
+    import numpy as np
+
+    number: dict[str, int] = {}
+    held = [np.array([number.setdefault(w, 1 + len(number)) for w in (t or "").lower().split()], np.uint32) for t in texts]
+    out: Counter = Counter()
+    for w, k in zip(number, _places(held, len(number)).tolist(), strict=True):
+        for f in features(w):
+            out[f] += k
+    return len(held), Counter({f: k for f, k in out.items() if k >= max(3, 0.004 * len(held))})
+
+
+def _places(held: list, n_words: int):
+    """Between how many pairs of neighbours each word, numbered from 1, stands in the documents; some words at a time."""
+    import numpy as np
+
+    out, parts = np.zeros(1 + n_words, np.int64), 1 + sum(map(len, held)) // PLACES
+    for part in range(parts if held else 0):
+        before, own, after = [], [], []
+        for x in held:
+            at = np.flatnonzero(x % parts == part)
+            around = np.concatenate([[0], x, [0]]).astype(np.uint64)  # beyond the ends stands no word, 0
+            before.append(around[at])
+            own.append(around[at + 1])
+            after.append(around[at + 2])
+        half = np.uint64(32)
+        pairs, pair = np.unique(np.concatenate(before) << half | np.concatenate(own), return_inverse=True)
+        found = np.unique(pair.astype(np.uint64) << half | np.concatenate(after))
+        out += np.bincount((pairs[(found >> half).astype(np.int64)] & np.uint64(2**32 - 1)).astype(np.int64), minlength=len(out))
+    return out[1:]
+
+
+def _sparse(kinds: list[int]) -> tuple:
+    """The length of a document, where in it words with features stand, and their kinds."""
+    import numpy as np
+
+    kinds = np.array(kinds, np.int64)
+    at = np.flatnonzero(kinds != NONE)
+    return len(kinds), at, kinds[at]
+
+
+def _dense(sparse: tuple):
+    """The kinds of all words of a document."""
+    import numpy as np
+
+    n, at, kinds = sparse
+    out = np.full(n, NONE, np.int64)
+    out[at] = kinds
+    return out
 
 
 class Chains:
@@ -244,20 +300,17 @@ class Chains:
         return (np.where(self.toxic, np.log(-np.expm1(-some)), -some) * self.times).sum(axis=1)
 
 
-def _train(held: list, chosen: set[str], bears: dict[int, list[str]], rounds: int) -> Model:
-    """Gradient ascent on the likelihood of the documents' labels; tags are latent."""
+def _train(held: list, chosen: set[str], sets: list[tuple], rounds: int) -> Model:
+    """Gradient ascent on the likelihood of the documents' labels; tags are latent. sets: the features of each kind."""
     import numpy as np
 
     names = sorted(chosen)
     place = {f: i for i, f in enumerate(names)}
-    sets: dict[tuple, int] = {}
-    kind_of = np.full(1 + max((int(x.max()) for x, _ in held if len(x)), default=0), -1)
-    for word, fs in bears.items():
-        kind_of[word] = sets.setdefault(tuple(sorted(place[f] for f in fs)), len(sets))
     bearing = np.zeros((len(sets), len(names)))
-    for fs, i in sets.items():
-        bearing[i, list(fs)] = 1
-    chains = Chains(held, kind_of)
+    for i, fs in enumerate(sets):
+        bearing[i, [place[f] for f in fs]] = 1
+    # NONE, as an index, finds the last entry, which is NONE.
+    chains = Chains(((_dense(x), y) for x, y in held), np.array([*range(len(sets)), NONE]))
     par, weights = np.array([-4.0, 0.0, 0.0, 0.0, 0.0]), np.ones(len(names))
     square, before, still, tiny = np.zeros(5 + len(names)), -np.inf, 0, 1e-4
     for _ in range(rounds if len(chains.toxic) else 0):
@@ -276,11 +329,11 @@ def _train(held: list, chosen: set[str], bears: dict[int, list[str]], rounds: in
             break
     bias, first, s01, s10, s11 = map(float, par)
     model = Model(dict(zip(names, map(float, weights), strict=True)), bias, first, ((0.0, s01), (s10, s11)), fitted=True)
-    of = {i: sum(model.weights[f] for f in fs) for i, fs in bears.items()}
+    of = np.array([*(sum(model.weights[f] for f in fs) for fs in sets), 0.0])
     xs = []
     for x, y in held:
-        es = [of.get(i, 0.0) for i in x.tolist()]
-        xs.append((*(_summary(model.marginals(es)) if any(es) else model.quiet(len(es))), y))
+        es = of[_dense(x)].tolist() if len(x[1]) else []
+        xs.append((*(_summary(model.marginals(es)) if any(es) else model.quiet(x[0])), y))
     model.curve = _logistic(xs)
     return model
 
@@ -337,18 +390,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(here), "doc_id").filter("text IS NOT NULL")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     rows = stored(rows, "toxic-sample")
-    model = fit(_within(rows.orderBy("toxic", *order).select("text", "toxic").toLocalIterator()))
+    texts = lambda y: lambda: _within(r.text for r in rows.filter(F.col("toxic") == y).orderBy(*order).select("text").toLocalIterator())
+    model = _fit(texts(1), texts(0))
     free()
     return model
 
 
-def _within(rows: Iterable) -> Iterator[tuple[str, int]]:
-    """As many of the rows, in order, as have SAMPLE_CHARS characters, for each label."""
-    held: Counter = Counter()
-    for r in rows:
-        held[r.toxic] += len(r.text)
-        if held[r.toxic] <= SAMPLE_CHARS:
-            yield r.text, r.toxic
+def _within(texts: Iterable[str]) -> Iterator[str]:
+    """As many of the texts, in order, as have SAMPLE_CHARS characters."""
+    n = 0
+    for t in texts:
+        n += len(t)
+        if n <= SAMPLE_CHARS:
+            yield t
 
 
 RESULT = T.StructType(

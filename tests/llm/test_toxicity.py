@@ -132,3 +132,30 @@ def test_planted_offsets_and_single_words():
     text = "aeio utn " * 2000 + best + " shr" * 3000
     score, spans = scorer(text)
     assert score >= tox.AT_LEAST and [text[s["start"] : s["end"]] for s in spans] == [best]
+
+
+def test_fit_holds_no_words_of_clean_texts():
+    """The driver's memory doesn't follow the number of distinct words in the sample."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    rows = [(f"{t} grobble" if y else t, y) for i in range(1000) for y, t in [(int(i % 10 == 0), " ".join(f"{rng.getrandbits(40):x}" for _ in range(250)))]]
+    tracemalloc.start()
+    model = tox.fit(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tox.Scorer(model)("one grobble two")[0] >= tox.AT_LEAST > tox.Scorer(model)("one two")[0]
+    assert peak < 24e6
+
+
+def test_places_of_words_in_parts(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(6)
+    held = [np.array([rng.randint(1, 9) for _ in range(rng.randint(0, 40))], np.uint32) for _ in range(60)]
+    plain = {(a, b, c) for x in held for a, b, c in zip([0, *x[:-1].tolist()], x.tolist(), [*x[1:].tolist(), 0], strict=False)}
+    want = [sum(b == w for _, b, _ in plain) for w in range(1, 12)]
+    assert tox._places(held, 11).tolist() == want
+    monkeypatch.setattr(tox, "PLACES", 100)
+    assert tox._places(held, 11).tolist() == want
+    assert tox._places([], 0).tolist() == []
